@@ -41,8 +41,8 @@ FAMILIES = {
     "artistic": ["artistic license(?: [12] 0)?", "perl artistic license"],
     "boost": ["boost software license(?: (?:version )?1 0)?", "bsl 1 0"],
     "zlib": ["zlib license", "zlib libpng license"],
-    "unlicense": ["unlicense license", "the unlicense"],
-    "wtfpl": ["wtfpl", "do what the f\\w* you want to public license"],
+    "unlicense": ["unlicense license", "unlicense org"],
+    "wtfpl": ["wtfpl(?: v2)?"],
     "cc0": ["cc0(?: 1 0)?(?: universal)?", "cc zero", "creative commons zero"],
     "cc-by-nc-nd": ["cc by nc nd(?: [1-4] [05])?", "creative commons attribution non ?commercial no ?deriv\\w*(?: [1-4] [05])?"],
     "cc-by-nc-sa": ["cc by nc sa(?: [1-4] [05])?", "creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?"],

@@ -7,6 +7,8 @@ suppressed. Windows are short, so a detection's possible holders stand within a
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -37,21 +39,18 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
     an empty one has no words and no detections. Base places are never suppressed."""
     rules, base = rules or signatures(), base or BASE
     keywords = sorted({r.keyword for r in rules} | {p.split(" ")[0] for p in base})
-    at_most = 1 + max(sum(r.keyword == k for r in rules) for k in keywords)
     rows = docs.select(*keep, words_of(text_of(text)).alias("_words"))
     places = F.filter(F.transform(F.col("_words"), lambda w, i: F.when(w.isin(keywords), i)), lambda i: i.isNotNull())
     gated = F.arrays_overlap(F.col("_words"), F.array(*map(F.lit, keywords)))
     rows = rows.withColumn("_places", F.when(gated, places).otherwise(F.array().cast("array<int>")))
     window = lambda i: F.struct(i.alias("i"), F.get("_words", i).alias("w"), F.array_join(F.slice("_words", i + 1, SPAN), " ").alias("s"))
     rows = rows.withColumn("_windows", F.transform("_places", window))
-    groups = F.map_from_arrays(
-        F.array(*map(F.lit, keywords)),
-        F.array(*[_table([r for r in rules if r.keyword == k]) for k in keywords]),
-    )
+    groups = _by_keyword(rules)
 
     def hits(x: Column) -> Column:
+        """Detections that begin with a window; of those, only the ones that no other from the same start suppresses."""
         tried = F.filter(groups[x["w"]], lambda r: F.rlike(x["s"], r["pattern"]))
-        return F.transform(
+        found = F.transform(
             tried,
             lambda r: F.struct(
                 x["i"].alias("start"),
@@ -59,24 +58,33 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
                 r["label"].alias("label"), r["rank"].alias("rank"), r["weight"].alias("weight"),
             ),
         )
+        return _let(found, lambda own: F.struct(F.filter(own, lambda d: ~F.exists(own, lambda e: _over(e, d))).alias("stand"), F.size(own).alias("n")))
 
-    rows = rows.withColumn("_all", F.flatten(F.transform("_windows", hits)))
-    reach = SPAN * at_most
+    rows = rows.select(*keep, F.size("_words").alias("_n"), "_windows", F.transform("_windows", hits).alias("_hits"))
+    # Those that stand at one start differ in length, so at most SPAN of them: holders are within SPAN * SPAN places.
+    reach = SPAN * SPAN
 
-    def held(d: Column, i: Column) -> Column:
-        near = F.slice("_all", F.greatest(F.lit(1), i + 1 - reach), F.lit(2 * reach))
+    def resolved(every: Column) -> Column:
+        near = lambda i: F.slice(every, F.greatest(F.lit(1), i + 1 - reach), F.lit(2 * reach))
+        return F.filter(every, lambda d, i: ~F.exists(near(i), lambda e: _over(e, d)))
 
-        def over(e: Column) -> Column:
-            longer = (e["stop"] - e["start"]) > (d["stop"] - d["start"])
-            holds = (e["start"] <= d["start"]) & (e["stop"] >= d["stop"])
-            return holds & (((e["rank"] >= d["rank"]) & longer) | ((e["rank"] > d["rank"]) & ~longer))
+    standing = _let(F.flatten(F.transform("_hits", lambda h: h["stand"])), resolved)
+    seen = F.aggregate("_hits", F.lit(0), lambda n, h: n + h["n"])
+    plain = F.flatten(F.array(*[_places(phrase, label) for phrase, label in base.items()]))
+    done = rows.select(*keep, F.col("_n").cast("long").alias("n_words"), plain.alias("base"), standing.alias("found"), seen.alias("_seen"))
+    return done.select(*keep, "n_words", "base", "found", (F.col("_seen") - F.size("found")).alias("suppressed"))
 
-        return F.exists(near, over)
 
-    rows = rows.withColumn("_held", F.transform("_all", held))
-    standing = F.filter("_all", lambda d, i: ~F.get("_held", i))
-    plain = F.flatten(F.array(*[_places(phrase, label) for phrase, label in base.items()]))
-    return rows.select(*keep, F.size("_words").cast("long").alias("n_words"), plain.alias("base"), F.array_distinct(standing).alias("found"), F.size(F.filter("_held", lambda x: x)).alias("suppressed"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, evaluated once for all its uses there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _over(e: Column, d: Column) -> Column:
+    """Whether detection e suppresses d: it holds d, and is longer with at least its rank, or as long with a higher one."""
+    longer = (e["stop"] - e["start"]) > (d["stop"] - d["start"])
+    holds = (e["start"] <= d["start"]) & (e["stop"] >= d["stop"])
+    return holds & ((longer & (e["rank"] >= d["rank"])) | (~longer & (e["rank"] > d["rank"])))
 
 
 def _places(phrase: str, label: str) -> Column:
@@ -85,10 +93,12 @@ def _places(phrase: str, label: str) -> Column:
     return F.transform(begun, lambda x: F.struct(x["i"].alias("start"), F.lit(label).alias("label")))
 
 
-def _table(rules: list[Signature]) -> Column:
-    if not rules:
-        return F.array().cast("array<struct<pattern:string,label:string,rank:int,weight:int>>")
-    return F.array(*[F.struct(F.lit(r.pattern).alias("pattern"), F.lit(r.label).alias("label"), F.lit(r.rank).alias("rank"), F.lit(r.weight).alias("weight")) for r in rules])
+def _by_keyword(rules: list[Signature]) -> Column:
+    """The rules of each keyword, as one literal that is parsed when the query is optimised."""
+    table: dict[str, list[dict]] = {}
+    for r in rules:
+        table.setdefault(r.keyword, []).append({"pattern": r.pattern, "label": r.label, "rank": r.rank, "weight": r.weight})
+    return F.from_json(F.lit(json.dumps(table)), "map<string, array<struct<pattern:string, label:string, rank:int, weight:int>>>")
 
 
 def summarised(scanned: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
