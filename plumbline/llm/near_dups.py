@@ -7,15 +7,19 @@ its words proves an edit similarity, 1 less distance over the longer length, of
 
 No bucket is expanded into pairs. Texts with the same words are one text from the start. Then
 
-1. each text is verified against the least text of each of its buckets, one pair a member, and links are closed to classes;
-2. in buckets that still hold several classes, texts of different classes are compared by their sketches, in blocks of
-   bounded size, and those agreeing in enough sketches are verified and closed in.
+1. each text is verified against the least text that leads one of its buckets, one pair a text, and links are closed to
+   classes; then against the leaders that are still of other classes, one pair for each such class;
+2. in buckets that still hold several classes, texts are compared by their sketches, in blocks of bounded size. Each text
+   is verified against the text of each other class that it agrees with in most sketches, and classes are closed again.
+   When that links no more, what is left, all pairs of texts of different classes that agree in enough sketches, is
+   verified, so that no link is lost. A large group of copies is one class by then and meets itself nowhere.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -199,9 +203,11 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
     return rows.mapInArrow(align, "a binary, b binary, linked boolean")
 
 
-def agreeing(members: DataFrame, bucket_texts: int = BUCKET_TEXTS, similarity: float = SIMILARITY) -> DataFrame:
+def agreeing(members: DataFrame, bucket_texts: int = BUCKET_TEXTS, similarity: float = SIMILARITY, best: bool = False) -> DataFrame:
     """Pairs ``a, b`` of different classes that meet in a bucket, agree in ``AGREEING`` sketches and are close enough in length.
 
+    With ``best``, only those in which one is, of its class, the one that agrees most with the other.
+
     ``members`` has ``h, k, root, n_words, sketch``. A bucket's largest class and its other texts are dealt into blocks of
     ``bucket_texts``; a block of others meets each block. So a task holds two blocks, however large the bucket is, and
     the largest class never meets itself. A pair is told only where its first agreeing sketch has its bucket."""
@@ -233,8 +239,13 @@ def agreeing(members: DataFrame, bucket_texts: int = BUCKET_TEXTS, similarity: f
             rest = np.flatnonzero((root[i + 1 :] != root[i]) & (np.abs(size[i + 1 :] - size[i]) <= need * np.maximum(size[i + 1 :], size[i]) + 1e-9)) + i + 1
             if len(rest):
                 same = table[rest] == table[i]
-                for j in rest[(same.sum(axis=1) >= AGREEING) & (same.argmax(axis=1) == slot)]:
-                    out.append((min(keys[i], keys[j]), max(keys[i], keys[j])))
+                agree = same.sum(axis=1)
+                fit = (agree >= AGREEING) & (same.argmax(axis=1) == slot)
+                rest, agree = rest[fit], agree[fit]
+                if best and len(rest) > 1:
+                    order = np.lexsort((-agree, root[rest]))
+                    rest = rest[order][np.unique(root[rest][order], return_index=True)[1]]
+                out += [(min(keys[i], keys[j]), max(keys[i], keys[j])) for j in rest]
         return pd.DataFrame(out, columns=["a", "b"])
 
     wanted = dealt.select("h", "k", "root", "n_words", "sketch", F.col("meet.x").alias("x"), F.col("meet.y").alias("y"))
@@ -252,8 +263,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     bands = nodes.where("n_words > 0").select("k", F.explode("sketch").alias("h"))
     shared = bands.groupBy("h").agg(F.count("*").alias("n"), F.min("k").alias("leader")).where("n > 1")
     members = stored(bands.join(shared, "h").select("h", "k", "leader"), "members")
-    first = stored(members.where("k != leader").select(F.col("leader").alias("a"), F.col("k").alias("b")).distinct(), "pairs")
-
     whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("t"))
     r1, r2 = row_key("doc_id", "t")
     needed = members.select("k").distinct()
@@ -261,15 +270,36 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keyed = whole.withColumns({"r1": r1, "r2": r2}).join(chosen.hint("shuffle_hash"), ["r1", "r2"]).select("k", "t")
     keyed = stored(keyed.dropDuplicates(["k"]), "texts", "zstd")
 
-    once = stored(verified(first, keyed, similarity), "verified")
-    labels = components(once.where("linked"))
-    in_class = members.select("h", "k").join(labels, "k", "left").withColumn("root", F.coalesce("root", "k"))
-    mixed = in_class.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("h")
-    rest = in_class.join(mixed, "h").join(nodes, "k")
-    second = agreeing(rest, bucket_texts, similarity).join(once.select("a", "b"), ["a", "b"], "left_anti")
-    twice = stored(verified(second, keyed, similarity), "verified").where("linked")
-    if twice.limit(1).count():
-        labels = components(once.where("linked").select("a", "b").union(twice.select("a", "b")))
+    known: list[DataFrame] = []
+    labels = None
+
+    def settled(pairs: DataFrame) -> bool:
+        """Verify pairs that weren't yet; whether any is linked. Classes are closed anew then."""
+        nonlocal labels
+        for old in known:
+            pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
+        known.append(stored(verified(pairs, keyed, similarity), "verified"))
+        if not known[-1].where("linked").limit(1).count():
+            return False
+        labels = components(reduce(DataFrame.union, [x.where("linked").select("a", "b") for x in known]))
+        return True
+
+    def in_classes(df: DataFrame, column: str, root: str) -> DataFrame:
+        """Adds the class of a text; a text without links is its own."""
+        own = labels.select(F.col("k").alias(column), F.col("root").alias(root))
+        return df.join(own, column, "left").withColumn(root, F.coalesce(root, column))
+
+    led = members.where("k != leader")
+    if settled(led.groupBy("k").agg(F.min("leader").alias("a")).select("a", F.col("k").alias("b"))):
+        apart = in_classes(in_classes(led.select("k", "leader").distinct(), "k", "root"), "leader", "led").where("root != led")
+        settled(apart.groupBy("k", "led").agg(F.min("leader").alias("a")).select("a", F.col("k").alias("b")))
+    if labels is None:
+        labels = led.select("k", F.col("k").alias("root")).where("false")
+    for best in (True, True, False):
+        classed = in_classes(members.select("h", "k"), "k", "root")
+        mixed = classed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("h")
+        rest = classed.join(mixed, "h").join(nodes, "k")
+        settled(agreeing(rest, bucket_texts, similarity, best))
 
     classed = rows.select("doc_id", "r1", "r2", "k").join(labels, "k", "left").withColumn("root", F.coalesce("root", "k"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "r1", "r2")

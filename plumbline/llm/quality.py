@@ -46,10 +46,27 @@ class _Words:
         self.hashes = np.zeros(MEMO_WORDS, np.uint64)
         self.sums, self.counts = np.zeros(MEMO_WORDS), np.zeros(MEMO_WORDS)
 
-    def buckets(self, word: bytes) -> np.ndarray:
-        s, framed = self.settings, b"<" + word + b">"
-        grams = [framed[i : i + n] for n in range(s.shortest, s.longest + 1) for i in range(len(framed) - n + 1)]
-        return np.array([xxhash.xxh32_intdigest(x) for x in [word, *grams]], np.int64) % s.buckets
+    def grams(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of the character n-grams of words framed by ``<`` and ``>``, and the place of each one's word in the list."""
+        s = self.settings
+        framed = np.frombuffer(b"".join(b"<" + w + b">" for w in words), np.uint8).astype(np.uint64)
+        owner = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+        found, owners, rolled = [], [], np.zeros(len(framed), np.uint64)
+        for n in range(1, s.longest + 1):
+            size = len(framed) - n + 1
+            if size <= 0:
+                break
+            rolled = rolled[:size] * np.uint64(0x100000001B3) + framed[n - 1 :]
+            if n >= s.shortest:
+                inside = owner[:size] == owner[n - 1 :]
+                h = (rolled[inside] + np.uint64(n)) * PAIR
+                found.append(((h ^ (h >> np.uint64(32))) % np.uint64(s.buckets)).astype(np.int64))
+                owners.append(owner[:size][inside])
+        return np.concatenate(found or [np.zeros(0, np.int64)]), np.concatenate(owners or [np.zeros(0, np.int64)])
+
+    def own(self, hashes: np.ndarray) -> np.ndarray:
+        """Buckets of the words themselves."""
+        return ((hashes >> np.uint64(7)) % np.uint64(self.settings.buckets)).astype(np.int64)
 
     def index(self, words: list[bytes]) -> np.ndarray:
         """Places of the words in the arrays."""
@@ -61,12 +78,14 @@ class _Words:
             if len(fresh) > len(self.hashes):
                 self.hashes = np.zeros(2 * len(fresh), np.uint64)
                 self.sums, self.counts = np.zeros(2 * len(fresh)), np.zeros(2 * len(fresh))
-        for word in fresh:
-            at = known[word] = len(known)
-            self.hashes[at] = xxhash.xxh3_64_intdigest(word)
+        if fresh:
+            words_now, at = list(fresh), np.arange(len(known), len(known) + len(fresh))
+            known.update(zip(words_now, at.tolist(), strict=True))
+            self.hashes[at] = np.fromiter(map(xxhash.xxh3_64_intdigest, words_now), np.uint64, len(words_now))
             if self.shares is not None:
-                own = self.buckets(word)
-                self.sums[at], self.counts[at] = self.shares[own].sum(), len(own)
+                found, owner = self.grams(words_now)
+                self.sums[at] = np.bincount(owner, self.shares[found], len(words_now)) + self.shares[self.own(self.hashes[at])]
+                self.counts[at] = np.bincount(owner, minlength=len(words_now)) + 1
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def pairs(self, at: np.ndarray) -> np.ndarray:
@@ -79,9 +98,9 @@ class _Words:
 def features(words: _Words, text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares of all its features; an end mark makes that never empty."""
     split = text.split()
-    own = [words.buckets(w) for w in split]
     at = words.index(split)
-    found, counts = np.unique(np.concatenate([np.zeros(1, np.int64), *own, words.pairs(at)]), return_counts=True)
+    own = [words.own(words.hashes[at]), words.grams(split)[0], words.pairs(at)]
+    found, counts = np.unique(np.concatenate([np.zeros(1, np.int64), *own]), return_counts=True)
     return found, (counts / counts.sum()).astype(np.float32)
 
 
