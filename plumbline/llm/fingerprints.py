@@ -125,26 +125,29 @@ def against_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     A null text is empty. Rows with a null id have no next document, so their edited columns are null. Where rows share an
     id, each has its own row here, and the least of their texts is what the predecessor takes. One row per row of ``docs``:
     ``doc_id, n_chars, edited, wide, edited_wide, near_edited, near_next``."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("t"))
-    sizes = rows.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.char_length("t")).cast("long").alias("n_chars"), F.count("*").alias("rows"))
+    # Another name than the table's: both uses of the rows then plan alike, and their exchange runs once.
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("t"))
+    sizes = rows.where("id is not null").groupBy(F.col("id").alias("doc_id")).agg(F.max(F.char_length("t")).cast("long").alias("n_chars"), F.count("*").alias("rows"))
     sizes = stored(sizes.repartitionByRange("doc_id").withColumn("slot", F.spark_partition_id()), "ids")
     repeated = sizes.where("rows > 1").limit(1).count() > 0
-    ring = stored(successors(sizes), "ring")
-    placed = with_fingerprint(rows.join(ring.hint("shuffle_hash"), "doc_id", "left"), F.col("t"))
-    taken = placed.where("previous_id is not null").select(
-        F.col("previous_id").alias("doc_id"),
+    ring = stored(successors(sizes), "ring").withColumnRenamed("doc_id", "id")
+    placed = with_fingerprint(rows.where("id is not null").join(ring.hint("shuffle_hash"), "id"), F.col("t"))
+    taken = placed.select(
+        F.col("previous_id").alias("id"),
         F.expr("substring(t, 1, int(previous_chars div 2))").alias("given"),
         F.col("signs").alias("next_signs"), F.col("pieces").alias("next_pieces"),
         *([F.col("t").alias("whole")] if repeated else []),
     )
     if repeated:
-        least = W.partitionBy("doc_id").orderBy("whole")
+        least = W.partitionBy("id").orderBy("whole")
         taken = taken.withColumn("n", F.row_number().over(least)).where("n = 1").drop("n", "whole")
-    joined = placed.join(taken, "doc_id", "left").withColumn("n_chars", F.char_length("t").cast("long"))
+    joined = placed.join(taken, "id").withColumn("n_chars", F.char_length("t").cast("long"))
     edited = joined.withColumn("edited", F.expr("concat(substring(t, 1, int(n_chars - n_chars div 2)), substring(given, 1, int(n_chars div 2)))"))
     done = with_fingerprint(edited, F.col("edited"), "edited_")
-    return done.select(
-        "doc_id", "n_chars", "edited", "wide", "edited_wide",
-        likeness(F.col("signs"), F.col("pieces"), F.col("edited_signs"), F.col("edited_pieces")).alias("near_edited"),
-        likeness(F.col("signs"), F.col("pieces"), F.col("next_signs"), F.col("next_pieces")).alias("near_next"),
+    near = lambda other: likeness(F.col("signs"), F.col("pieces"), F.col(f"{other}_signs"), F.col(f"{other}_pieces")).alias(f"near_{other}")
+    found = done.select(F.col("id").alias("doc_id"), "n_chars", "edited", "wide", "edited_wide", near("edited"), near("next"))
+    without_id = with_fingerprint(rows.where("id is null"), F.col("t")).select(
+        F.col("id").alias("doc_id"), F.char_length("t").cast("long").alias("n_chars"), F.lit(None).cast("string").alias("edited"), "wide",
+        F.lit(None).cast("array<bigint>").alias("edited_wide"), F.lit(None).cast("double").alias("near_edited"), F.lit(None).cast("double").alias("near_next"),
     )
+    return found.union(without_id)
