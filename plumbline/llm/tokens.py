@@ -2,11 +2,14 @@
 
 The tokenizer's normaliser folds white space to a space, its pre-tokeniser never lets a token hold white space, and
 neither composition nor lower-casing looks across ASCII white space. So the ids of a text are the ids of its chunks
-between ASCII white space, one after another, and a bounded memo of chunks saves most calls into the library.
+between ASCII white space, one after another, and a bounded memo of chunks saves most calls into the library. Two more
+identities save most of the rest: a mark of punctuation behind a letter or digit is a token run of its own, and ASCII
+letters have the ids of their lower case. A run of composed lower-case letters goes to the library's model at once.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -16,7 +19,10 @@ import public_tokenizers
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks a worker remembers, and the longest of them in bytes.
-MEMO_CHUNKS, MEMO_BYTES = 400_000, 48
+MEMO_CHUNKS, MEMO_BYTES = 500_000, 48
+#: Lower-case letters that are composed already: the pipeline before the model leaves a run of them as it is.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_MARKS = frozenset(b".,;:!?")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -24,12 +30,20 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class _Memo(dict):
-    def __init__(self, encode: Callable[[str], list[int]]):
+    def __init__(self, tokenizer):
         super().__init__()
-        self.encode = encode
+        self.tokenizer, self.model = tokenizer, tokenizer.model
 
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = np.asarray(self.encode(chunk.decode("utf-8", "replace")), dtype="<u4").tobytes()
+        if chunk[-1] in _MARKS and _ends_in_letter(chunk[:-1]):
+            ids = self[chunk[:-1]] + self[chunk[-1:]]
+        elif chunk.isalpha() and not chunk.islower():
+            ids = self[chunk.lower()]
+        elif _PLAIN.fullmatch(chunk):
+            found = self.model.tokenize(chunk.decode("latin-1").translate(_byte_letters()))
+            ids = np.array([t.id for t in found], "<u4").tobytes()
+        else:
+            ids = np.array(self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
         if len(chunk) <= MEMO_BYTES:
             if len(self) >= MEMO_CHUNKS:
                 self.clear()
@@ -37,13 +51,28 @@ class _Memo(dict):
         return ids
 
 
+@cache
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones themselves, the others from U+0100."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+def _ends_in_letter(chunk: bytes) -> bool:
+    """Whether UTF-8 bytes surely end in a letter or digit: an ASCII one, or a letter of U+00C0 to U+00FF."""
+    if chunk[-1:].isalnum():
+        return True
+    return len(chunk) > 1 and chunk[-2] == 0xC3 and chunk[-1] not in (0x97, 0xB7)
+
+
 @cache
 def encoder(path: str) -> Callable[[bytes], bytes]:
     """A function from UTF-8 text to its ids as little-endian unsigned 32-bit integers, without an end id."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    look_up = _Memo(lambda text: tokenizer.encode(text, add_special_tokens=False).ids).__getitem__
+    look_up = _Memo(tokenizer).__getitem__
     return lambda text: b"".join(map(look_up, text.split()))
 
 

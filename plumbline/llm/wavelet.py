@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,14 +24,14 @@ from pyspark.sql import Window as W
 from plumbline.llm import tokens
 from plumbline.llm._common import shared_folder, slices, text_of, texts
 
-MAGIC = b"PLWM1\0\0\0"
+MAGIC = b"PLWM2\0\0\0"
 #: Bits between rank samples; tokens after which a shard is closed.
 SAMPLE, SHARD_TOKENS = 512, 1 << 20
 SHARD_SCHEMA = "part int, place int, n_docs long, n_tokens long, shard binary"
 
 
 def _packed(array: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(array).tobytes(), 1)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(array).tobytes())
 
 
 class WaveletMatrix:
@@ -46,22 +47,24 @@ class WaveletMatrix:
         current = ids.astype(np.uint16 if top < 1 << 16 else np.uint32)
         planes, zeros = [], []
         for level in range(max(1, top.bit_length()) - 1, -1, -1):
-            ones = (current >> level) & 1 == 1
+            ones = (current & current.dtype.type(1 << level)).astype(bool)
             planes.append(np.packbits(ones, bitorder="little"))
-            low = current[~ones]
+            high = np.flatnonzero(ones)
+            low = np.flatnonzero(~ones)
             zeros.append(len(low))
-            current = np.concatenate([low, current[ones]])
+            current = np.concatenate([current.take(low), current.take(high)])
         return cls(len(ids), planes, zeros)
 
     def decode(self) -> np.ndarray:
         """All ids in order, from the lowest plane up."""
-        out = np.zeros(self.size, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        out = np.zeros(self.size, kind)
         for level, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             ones = np.unpackbits(plane, count=self.size, bitorder="little").view(bool)
             before = np.empty_like(out)
-            before[~ones], before[ones] = out[:zeros], out[zeros:] | np.uint32(1 << level)
+            before[np.flatnonzero(~ones)], before[np.flatnonzero(ones)] = out[:zeros], out[zeros:] | kind(1 << level)
             out = before
-        return out
+        return out.astype(np.uint32)
 
     def _bit(self, level: int, at: int) -> int:
         return int(self.planes[level][at >> 3]) >> (at & 7) & 1
@@ -155,7 +158,7 @@ def read_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix
     numbers = struct.unpack_from(f"<{2 * levels + 3}Q", data, 28)
     zeros, sizes, at, parts = list(numbers[:levels]), numbers[levels:], 28 + 8 * (2 * levels + 3), []
     for length in sizes:
-        parts.append(zlib.decompress(data[at : at + length]))
+        parts.append(zstandard.ZstdDecompressor().decompress(data[at : at + length]))
         at += length
     missing = np.frombuffer(parts[1], "u1")
     doc_ids = [None if gone else int(x) for x, gone in zip(np.frombuffer(parts[0], "<i8"), missing, strict=True)]

@@ -66,9 +66,18 @@ def crc(ids):
 # tokens, 2
 
 
+def docs_of():
+    """One file's worth of texts with long documents, junk and several languages."""
+    import pyarrow.parquet as pq
+
+    return pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).to_pylist()
+
+
 def test_chunked_ids_equal_whole_ids(rows, odd, tokenizer):
     some = [*rows.values(), *(r["text"] or "" for r in odd.select("text").collect())]
     some += ["á ́b\t\x0bc\x85d　e it's THEY'LL 12 3½ ﬁ Ⅷ", "Σας ΣΑΣ", "x" * 3000, "<|startoftext|>x<|endoftext|>"]
+    some += ["straße ÿacht Ñandú, Élan. naïve! ×x. x×. a÷, ß. öÖ ça; don't. DON'T. 's. l'été: x... y.. z., \u00e9. e\u0301. e\u0301"]
+    some += [r["text"] for r in docs_of()]
     got = list(tokens.encoded([t.encode() for t in some], tokens.tokenizer_path()))
     for text, ids in zip(some, got, strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == ids_of(tokenizer, text)
