@@ -26,7 +26,7 @@ from plumbline.llm._common import shared_folder, slices, text_of, texts
 
 MAGIC = b"PLWM2\0\0\0"
 #: Bits between rank samples; tokens after which a shard is closed.
-SAMPLE, SHARD_TOKENS = 512, 1 << 20
+SAMPLE, SHARD_TOKENS = 512, 1 << 18
 SHARD_SCHEMA = "part int, place int, n_docs long, n_tokens long, shard binary"
 
 
