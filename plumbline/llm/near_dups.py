@@ -9,10 +9,11 @@ No bucket is expanded into pairs. Texts with the same words are one text from th
 
 1. each text is verified against the least text that leads one of its buckets, one pair a text, and links are closed to
    classes; then against the leaders that are still of other classes, one pair for each such class;
-2. in buckets that still hold several classes, texts are compared by their sketches, in blocks of bounded size. Each text
-   is verified against the text of each other class that it agrees with in most sketches, and classes are closed again.
-   When that links no more, what is left, all pairs of texts of different classes that agree in enough sketches, is
-   verified, so that no link is lost. A large group of copies is one class by then and meets itself nowhere.
+2. in buckets that still hold several classes, texts are compared by their sketches and counts of hashed words, in blocks
+   of bounded size. A pair whose counts alone cost more edits than a link allows is none. Of the others, first a forest
+   that spans each block's classes, of pairs that agree in most sketches, is verified, and classes are closed again. Where
+   all pairs of a bucket's forests are links, its pairs are in one class each; in other buckets all pairs of different
+   classes that agree in enough sketches are verified, so that no link is lost. A large group of copies is one class by then and meets itself nowhere.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ SKETCHES, PICKED = 40, 3
 #: Sketches in which texts of two classes must agree to be verified in step 2, and texts of a bucket compared in one task.
 #: Texts whose shingles have a Jaccard similarity of 0.8 agree in 20 of 40 on average, in fewer than 5 once in 10 million pairs.
 AGREEING, BUCKET_TEXTS = 5, 1024
+#: Counters of hashed words, of a byte each, that bound the edits between two texts from below.
+COUNTERS = 512
 
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _RANDOM = np.random.default_rng(20190705)
@@ -143,25 +146,69 @@ def alike(a: list[str], b: list[str], similarity: float = SIMILARITY) -> bool:
     return alignment_distance(a, b, most) <= most
 
 
+def word_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many words fall to each of ``COUNTERS``, 255 at most."""
+    return np.minimum(np.bincount((hashes % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS), 255).astype(np.uint8)
+
+
+def least_edits(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """A lower bound of the edit distance by :func:`word_counts`, of one text to each of many.
+
+    An edit takes at most one word from a counter and gives one to another; words that share a counter, and counts that
+    are cut, only make the bound smaller."""
+    either = np.maximum(many, one).sum(axis=1, dtype=np.int64)
+    return either - np.minimum(many.sum(axis=1, dtype=np.int64), one.sum(dtype=np.int64))
+
+
+def spanning_forest(first: np.ndarray, second: np.ndarray, weight: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Places of pairs ``first, second`` that join all groups the pairs join, without a cycle; heavy pairs come first.
+
+    Each round every group takes its heaviest pair to another, so groups at least halve."""
+    group, taken = group.copy(), []
+    alive = np.arange(len(first))
+    while True:
+        a, b = group[first[alive]], group[second[alive]]
+        alive, a, b = alive[a != b], a[a != b], b[a != b]
+        if not len(alive):
+            return np.array(taken, np.int64)
+        ends, places = np.concatenate([a, b]), np.concatenate([alive, alive])
+        order = np.lexsort((places, -weight[places], ends))
+        _, heads = np.unique(ends[order], return_index=True)
+        up = np.arange(group.max() + 1)
+
+        def top(x: int, up: np.ndarray = up) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for place in np.unique(places[order][heads]):
+            x, y = top(group[first[place]]), top(group[second[place]])
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                taken.append(place)
+        group = np.array([top(x) for x in range(len(up))])[group]
+
+
 def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, r1, r2, k, n_words, sketch`` per row: the row's content key, the digest of its words (of the whole text, if it
-    has no words), their number, and its sketches."""
+    """``doc_id, r1, r2, k, n_words, sketch, counts`` per row: the row's content key, the digest of its words (of the whole
+    text, if it has no words), their number, its sketches and its word counts."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("t"))
     r1, r2 = row_key("doc_id", "t")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keys, sizes, sketches = [], [], []
+            keys, sizes, sketches, counts = [], [], [], []
             for value in texts(batch, "t"):
                 own = [w.encode() for w in words(value.decode("utf-8", "replace"))]
                 keys.append(xxhash.xxh3_128_digest(b" ".join(own) if own else b"\x00" + value))
                 sizes.append(len(own))
                 hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
                 sketches.append(order_min_hash(labelled_shingles(hashes)).view(np.int64) if own else np.zeros(0, np.int64))
-            out = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *out], ["doc_id", "r1", "r2", "k", "n_words", "sketch"])
+                counts.append(word_counts(hashes).tobytes())
+            out = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *out], ["doc_id", "r1", "r2", "k", "n_words", "sketch", "counts"])
 
-    return rows.select("doc_id", r1.alias("r1"), r2.alias("r2"), "t").mapInArrow(sketch, "doc_id long, r1 long, r2 long, k binary, n_words int, sketch array<long>")
+    return rows.select("doc_id", r1.alias("r1"), r2.alias("r2"), "t").mapInArrow(sketch, "doc_id long, r1 long, r2 long, k binary, n_words int, sketch array<long>, counts binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -204,19 +251,21 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
     return rows.mapInArrow(align, "a binary, b binary, linked boolean")
 
 
-def agreeing(members: DataFrame, bucket_texts: int = BUCKET_TEXTS, similarity: float = SIMILARITY, best: bool = False) -> DataFrame:
-    """Pairs ``a, b`` of different classes that meet in a bucket, agree in ``AGREEING`` sketches and are close enough in length.
+def agreeing(members: DataFrame, nodes: DataFrame, bucket_texts: int = BUCKET_TEXTS, similarity: float = SIMILARITY, forest: bool = False) -> DataFrame:
+    """``h, a, b``: pairs of different classes that meet in a bucket, agree in ``AGREEING`` sketches and may be close enough by
+    their lengths and word counts. With ``forest``, only as many of a block as join its classes, those that agree most.
 
-    With ``best``, only those in which one is, of its class, the one that agrees most with the other.
-
-    ``members`` has ``h, k, root, n_words, sketch``. A bucket's largest class and its other texts are dealt into blocks of
-    ``bucket_texts``; a block of others meets each block. So a task holds two blocks, however large the bucket is, and
-    the largest class never meets itself. A pair is told only where its first agreeing sketch has its bucket."""
+    ``members`` has ``slot, h, k, root``, ``nodes`` has ``k, n_words, sketch, counts``. A bucket's largest class and its other
+    texts are dealt into blocks of ``bucket_texts``; a block of others meets each block. So a task holds two blocks,
+    however large the bucket is, and the largest class never meets itself. A pair is told only in the bucket of its first
+    agreeing sketch, so the last ``AGREEING - 1`` slots are left out. Sketches are compared by their upper 32 bits; they travel with the dealt rows alone."""
+    members = members.where(F.col("slot") <= SKETCHES - AGREEING)
     by_class = members.groupBy("h", "root").agg(F.count("*").alias("n"))
     sizes = by_class.groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.max("n").alias("n_largest"), F.sum("n").alias("n"))
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / bucket_texts)).cast("int")
-    sizes = sizes.select("h", "largest", blocks(F.col("n_largest")).alias("p"), blocks(F.col("n") - F.col("n_largest")).alias("q"))
-    rows = members.join(sizes, "h").withColumn("other", F.col("root") != F.col("largest"))
+    sizes = sizes.where("n > n_largest").select("h", "largest", blocks(F.col("n_largest")).alias("p"), blocks(F.col("n") - F.col("n_largest")).alias("q"))
+    classes = by_class.select("h", "root").join(sizes, "h").withColumn("other", F.col("root") != F.col("largest"))
+    rows = members.join(classes.select("h", "root", "other", "p", "q"), ["h", "root"])
     place = F.pmod(F.xxhash64("k"), F.when(F.col("other"), F.col("q")).otherwise(F.col("p"))).cast("int")
     pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     others = F.sequence(F.lit(0), F.col("q") - 1)
@@ -232,25 +281,37 @@ def agreeing(members: DataFrame, bucket_texts: int = BUCKET_TEXTS, similarity: f
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         table = np.stack(group["sketch"].to_numpy())
-        h, size, keys = group["h"].iloc[0], group["n_words"].to_numpy(), group["k"].to_numpy()
+        counts = np.frombuffer(b"".join(group["counts"]), np.uint8).reshape(-1, COUNTERS)
+        size, keys = group["n_words"].to_numpy(), group["k"].to_numpy()
         _, root = np.unique(group["root"].map(bytes), return_inverse=True)
-        slot = int(np.flatnonzero(table[0] == h)[0])
-        out = []
+        slot = group["slot"].iloc[0]
+        first, second, weight = [], [], []
         for i in range(len(keys) - 1):
-            rest = np.flatnonzero((root[i + 1 :] != root[i]) & (np.abs(size[i + 1 :] - size[i]) <= need * np.maximum(size[i + 1 :], size[i]) + 1e-9)) + i + 1
+            most = (np.maximum(size[i + 1 :], size[i]) * need + 1e-9).astype(np.int64)
+            rest = np.flatnonzero((root[i + 1 :] != root[i]) & (np.abs(size[i + 1 :] - size[i]) <= most)) + i + 1
             if len(rest):
                 same = table[rest] == table[i]
                 agree = same.sum(axis=1)
                 fit = (agree >= AGREEING) & (same.argmax(axis=1) == slot)
                 rest, agree = rest[fit], agree[fit]
-                if best and len(rest) > 1:
-                    order = np.lexsort((-agree, root[rest]))
-                    rest = rest[order][np.unique(root[rest][order], return_index=True)[1]]
-                out += [(min(keys[i], keys[j]), max(keys[i], keys[j])) for j in rest]
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    wanted = dealt.select("h", "k", "root", "n_words", "sketch", F.col("meet.x").alias("x"), F.col("meet.y").alias("y"))
-    return wanted.groupBy("h", "x", "y").applyInPandas(compare, "a binary, b binary").distinct()
+                edits, most = least_edits(counts[i], counts[rest]), most[rest - i - 1]
+                fit = edits <= most
+                first.append(np.full(fit.sum(), i))
+                second.append(rest[fit])
+                weight.append((agree - edits * SKETCHES / np.maximum(most, 1))[fit])
+        if not first:
+            return pd.DataFrame({"h": [], "a": [], "b": []})
+        first, second, weight = map(np.concatenate, (first, second, weight))
+        if forest:
+            chosen = spanning_forest(first, second, weight, root)
+            first, second = first[chosen], second[chosen]
+        h = group["h"].iloc[0]
+        pairs = [(h, min(keys[i], keys[j]), max(keys[i], keys[j])) for i, j in zip(first, second, strict=True)]
+        return pd.DataFrame(pairs, columns=["h", "a", "b"])
+
+    upper = nodes.select("k", "n_words", F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int")).alias("sketch"), "counts")
+    wanted = dealt.select("slot", "h", "k", "root", F.col("meet.x").alias("x"), F.col("meet.y").alias("y")).join(upper, "k")
+    return wanted.groupBy("h", "x", "y").applyInPandas(compare, "h long, a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bucket_texts: int = BUCKET_TEXTS) -> DataFrame:
@@ -260,10 +321,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     among rows that share it, one by content. Null ids come last; a class of null ids has a null ``class_id``. A null text
     is empty; texts without words are alike only if equal. ``r1, r2`` is :func:`row_key` of id and text, null as empty."""
     rows = stored(sketched(docs, doc_id, text), "sketches")
-    nodes = stored(rows.dropDuplicates(["k"]).select("k", "n_words", "sketch"), "nodes")
-    bands = nodes.where("n_words > 0").select("k", F.explode("sketch").alias("h"))
-    shared = bands.groupBy("h").agg(F.count("*").alias("n"), F.min("k").alias("leader")).where("n > 1")
-    members = stored(bands.join(shared, "h").select("h", "k", "leader"), "members")
+    nodes = stored(rows.dropDuplicates(["k"]).select("k", "n_words", "sketch", "counts"), "nodes")
+    bands = nodes.where("n_words > 0").select("k", F.posexplode("sketch").alias("slot", "h"))
+    shared = bands.groupBy("slot", "h").agg(F.count("*").alias("n"), F.min("k").alias("leader")).where("n > 1").select("slot", "h", "leader")
+    shared = stored(shared, "buckets")
+    led = bands.join(shared.drop("slot"), "h").where("k != leader")
+    led = stored(led.select("slot", "h", "k", "leader"), "members")
+    members = led.select("slot", "h", "k").union(shared.select("slot", "h", "leader"))
     whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("t"))
     r1, r2 = row_key("doc_id", "t")
     needed = members.select("k").distinct()
@@ -271,36 +335,39 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keyed = whole.withColumns({"r1": r1, "r2": r2}).join(chosen.hint("shuffle_hash"), ["r1", "r2"]).select("k", "t")
     keyed = stored(keyed.dropDuplicates(["k"]), "texts", "zstd")
 
-    known: list[DataFrame] = []
-    labels = None
-
-    def settled(pairs: DataFrame) -> bool:
-        """Verify pairs that weren't yet; whether any is linked. Classes are closed anew then."""
-        nonlocal labels
-        for old in known:
-            pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
-        known.append(stored(verified(pairs, keyed, similarity), "verified"))
-        if not known[-1].where("linked").limit(1).count():
-            return False
-        labels = components(reduce(DataFrame.union, [x.where("linked").select("a", "b") for x in known]))
-        return True
+    failed: list[DataFrame] = []
+    labels = members.select("k", F.col("k").alias("root")).where("false")
 
     def in_classes(df: DataFrame, column: str, root: str) -> DataFrame:
         """Adds the class of a text; a text without links is its own."""
         own = labels.select(F.col("k").alias(column), F.col("root").alias(root))
         return df.join(own, column, "left").withColumn(root, F.coalesce(root, column))
 
-    led = members.where("k != leader")
+    def settled(pairs: DataFrame) -> bool:
+        """Verify pairs that weren't yet; whether any is linked. Classes that links join become one then."""
+        nonlocal labels
+        if failed:
+            pairs = pairs.join(reduce(DataFrame.union, failed), ["a", "b"], "left_anti")
+        seen = stored(verified(pairs, keyed, similarity), "verified")
+        failed.append(seen.where("not linked").select("a", "b"))
+        links = seen.where("linked")
+        if not links.limit(1).count():
+            return False
+        between = in_classes(in_classes(links.select("a", "b"), "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        joined = components(between)  # of classes by their least texts, which have no label of their own
+        onward = joined.select(F.col("k").alias("root"), F.col("root").alias("onto"))
+        labels = stored(labels.join(onward, "root", "left").select("k", F.coalesce("onto", "root").alias("root")).union(joined), "labels")
+        return True
+
     if settled(led.groupBy("k").agg(F.min("leader").alias("a")).select("a", F.col("k").alias("b"))):
-        apart = in_classes(in_classes(led.select("k", "leader").distinct(), "k", "root"), "leader", "led").where("root != led")
-        settled(apart.groupBy("k", "led").agg(F.min("leader").alias("a")).select("a", F.col("k").alias("b")))
-    if labels is None:
-        labels = led.select("k", F.col("k").alias("root")).where("false")
-    for best in (True, False):
-        classed = in_classes(members.select("h", "k"), "k", "root")
-        mixed = classed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("h")
-        rest = classed.join(mixed, "h").join(nodes, "k")
-        settled(agreeing(rest, bucket_texts, similarity, best))
+        apart = in_classes(led.select("k", "leader").distinct(), "leader", "led").groupBy("k", "led").agg(F.min("leader").alias("a"))
+        settled(in_classes(apart, "k", "root").where("root != led").select("a", F.col("k").alias("b")))
+    classed = stored(in_classes(members, "k", "root"), "classed")
+    forest = stored(agreeing(classed, nodes, bucket_texts, similarity, True), "forest")
+    settled(forest.select("a", "b").distinct())
+    open_buckets = forest.join(reduce(DataFrame.union, failed).distinct(), ["a", "b"], "left_semi").select("h").distinct()
+    rest = stored(members.join(open_buckets, "h", "left_semi"), "rest")
+    settled(agreeing(in_classes(rest, "k", "root"), nodes, bucket_texts, similarity).select("a", "b").distinct())
 
     classed = rows.select("doc_id", "r1", "r2", "k").join(labels, "k", "left").withColumn("root", F.coalesce("root", "k"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "r1", "r2")

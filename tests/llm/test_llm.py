@@ -156,6 +156,35 @@ def brute_classes(texts):
     return classes(pairs, keys)
 
 
+def test_word_counts_bound_edits_from_below():
+    rng = random.Random(5)
+    for vocabulary in (3, 40, 4000):
+        for _ in range(60):
+            a = [str(rng.randrange(vocabulary)) for _ in range(rng.randrange(1, 700))]
+            b = [w if rng.random() < 0.8 else str(rng.randrange(vocabulary)) for w in a][rng.randrange(3) :]
+            one, other = (near_dups.word_counts(np.array([hash(w) & 0xFFFFFFFF for w in x], np.uint64)) for x in (a, b))
+            bound = near_dups.least_edits(one, other[None])[0]
+            assert abs(len(a) - len(b)) * (vocabulary > 40) <= bound <= near_dups.alignment_distance(a, b, max(len(a), len(b)))
+
+
+def test_spanning_forest_joins_what_pairs_join():
+    rng = np.random.default_rng(6)
+    for n, m in ((1, 0), (5, 4), (40, 30), (60, 900)):
+        first, second, weight = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 3, m)
+        group = rng.integers(0, max(1, n // 2), n)
+
+        def parts(places, group=group, first=first, second=second):
+            of = group.copy()
+            for p in places:
+                x, y = of[first[p]], of[second[p]]
+                of[of == max(x, y)] = min(x, y)
+            return of
+
+        chosen = near_dups.spanning_forest(first, second, weight, group)
+        assert (parts(chosen) == parts(range(m))).all()
+        assert len(chosen) == len(set(group)) - len(set(parts(range(m))))
+
+
 def test_near_duplicates_equal_all_pairs(docs, rows):
     got = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicates(docs).collect()}
     assert got == brute_classes(rows)
