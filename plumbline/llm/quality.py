@@ -21,6 +21,8 @@ from plumbline.llm._common import slices, text_of, texts
 
 #: Words a worker remembers.
 MEMO_WORDS = 300_000
+#: Texts whose features share an array in training; large arrays go back to the system when training ends.
+BLOCK_TEXTS = 256
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -137,7 +139,12 @@ def train(texts: list[bytes], labels: list[int], settings: Settings = Settings()
     """Stochastic gradient descent, one document at a time, the rate falling to 0. Without texts, every score is one half."""
     random = np.random.default_rng(settings.seed)
     words = _Words(settings)
-    rows = [features(words, t) for t in texts]
+    rows: list[tuple[np.ndarray, np.ndarray]] = []
+    for start in range(0, len(texts), BLOCK_TEXTS):
+        block = [features(words, t) for t in texts[start : start + BLOCK_TEXTS]]
+        ends = np.cumsum([len(found) for found, _ in block])[:-1]
+        found, share = np.concatenate([x for x, _ in block]).astype(np.int32), np.concatenate([x for _, x in block])
+        rows += zip(np.split(found, ends), np.split(share, ends), strict=True)
     vectors = ((random.random((settings.buckets, settings.width), np.float32) - 0.5) / settings.width).astype(np.float32)
     output = np.zeros((settings.width, 2), np.float32)
     steps, done = max(1, settings.epochs * len(rows)), 0
@@ -175,8 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     )
     chosen = known.orderBy(F.xxhash64(F.lit(settings.seed), "k"), "k").limit(settings.sample_rows)
     rows = docs.select(F.col(doc_id).cast("long").alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(chosen), "k")
-    found = sorted((r["k"], r["y"], r["t"]) for r in rows.collect())
-    return train([t.encode() for _, _, t in found], [y for _, y, _ in found], settings)
+    found = sorted((r["k"], r["y"], r["t"].encode()) for r in rows.collect())
+    return train([t for _, _, t in found], [y for _, y, _ in found], settings)
 
 
 def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
