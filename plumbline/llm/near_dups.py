@@ -9,11 +9,12 @@ No bucket is expanded into pairs. Texts with the same words are one text from th
 
 1. each text is verified against the least text that leads one of its buckets, one pair a text, and links are closed to
    classes; then against the leaders that are still of other classes, one pair for each such class;
-2. in buckets that still hold several classes, texts are compared by their sketches and counts of hashed words, in blocks
-   of bounded size. A pair whose counts alone cost more edits than a link allows is none. Of the others, first a forest
-   that spans each block's classes, of pairs that agree in most sketches, is verified, and classes are closed again. Where
-   all pairs of a bucket's forests are links, its pairs are in one class each; in other buckets all pairs of different
-   classes that agree in enough sketches are verified, so that no link is lost. A large group of copies is one class by then and meets itself nowhere.
+2. in buckets that still hold several classes, texts are compared by their counts of hashed words, in blocks of bounded
+   size. A pair whose counts alone cost more edits than a link allows is none. Of the others, first a forest that spans
+   each block's classes, of pairs that agree in most sketches, is verified, and classes are closed again. Where all pairs
+   of a bucket's forests are links, its pairs are in one class each; in other buckets all pairs of different classes are
+   verified, however few sketches they agree in, so that no link between texts that share a bucket is lost. A large group
+   of copies is one class by then and meets itself nowhere.
 """
 
 from __future__ import annotations
@@ -34,9 +35,8 @@ from plumbline.llm._common import row_key, slices, stored, text_of, texts
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, PICKED = 40, 3
-#: Sketches in which texts of two classes must agree to be verified in step 2, and texts of a bucket compared in one task.
-#: Texts whose shingles have a Jaccard similarity of 0.8 agree in 20 of 40 on average, in fewer than 5 once in 10 million pairs.
-AGREEING, BUCKET_TEXTS = 5, 1024
+#: Texts of a bucket compared in one task.
+BUCKET_TEXTS = 1024
 #: Counters of hashed words, of a byte each, that bound the edits between two texts from below.
 COUNTERS = 512
 
@@ -252,14 +252,13 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
 
 
 def agreeing(members: DataFrame, nodes: DataFrame, bucket_texts: int = BUCKET_TEXTS, similarity: float = SIMILARITY, forest: bool = False) -> DataFrame:
-    """``h, a, b``: pairs of different classes that meet in a bucket, agree in ``AGREEING`` sketches and may be close enough by
-    their lengths and word counts. With ``forest``, only as many of a block as join its classes, those that agree most.
+    """``h, a, b``: pairs of different classes that meet in a bucket and may be close enough by their lengths and word
+    counts. With ``forest``, only as many of a block as join its classes, those that agree most.
 
     ``members`` has ``slot, h, k, root``, ``nodes`` has ``k, n_words, sketch, counts``. A bucket's largest class and its other
     texts are dealt into blocks of ``bucket_texts``; a block of others meets each block. So a task holds two blocks,
     however large the bucket is, and the largest class never meets itself. A pair is told only in the bucket of its first
-    agreeing sketch, so the last ``AGREEING - 1`` slots are left out. Sketches are compared by their upper 32 bits; they travel with the dealt rows alone."""
-    members = members.where(F.col("slot") <= SKETCHES - AGREEING)
+    agreeing sketch. Sketches are compared by their upper 32 bits; they travel with the dealt rows alone."""
     by_class = members.groupBy("h", "root").agg(F.count("*").alias("n"))
     sizes = by_class.groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.max("n").alias("n_largest"), F.sum("n").alias("n"))
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / bucket_texts)).cast("int")
@@ -291,9 +290,8 @@ def agreeing(members: DataFrame, nodes: DataFrame, bucket_texts: int = BUCKET_TE
             rest = np.flatnonzero((root[i + 1 :] != root[i]) & (np.abs(size[i + 1 :] - size[i]) <= most)) + i + 1
             if len(rest):
                 same = table[rest] == table[i]
-                agree = same.sum(axis=1)
-                fit = (agree >= AGREEING) & (same.argmax(axis=1) == slot)
-                rest, agree = rest[fit], agree[fit]
+                fit = same.argmax(axis=1) == slot
+                rest, agree = rest[fit], same[fit].sum(axis=1)
                 edits, most = least_edits(counts[i], counts[rest]), most[rest - i - 1]
                 fit = edits <= most
                 first.append(np.full(fit.sum(), i))

@@ -212,6 +212,38 @@ def test_near_duplicates_of_large_groups_lose_no_link(spark):
     assert got == brute_classes(texts)
 
 
+def bucket_classes(texts):
+    """Classes by all pairs that agree in at least one sketch and are alike."""
+    split = {k: near_dups.words(t) for k, t in texts.items()}
+    sketches = {}
+    for k, own in split.items():
+        hashes = np.array([near_dups.xxhash.xxh3_64_intdigest(w.encode()) for w in own], np.uint64)
+        sketches[k] = near_dups.order_min_hash(near_dups.labelled_shingles(hashes))
+    keys = sorted(split)
+    return classes(
+        [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if (sketches[a] == sketches[b]).any() and near_dups.alike(split[a], split[b])], keys
+    )
+
+
+def test_near_duplicates_of_spread_edits_lose_no_pair_of_a_bucket(spark):
+    """Families of 20 texts of 100 words in chains of which each step edits 5 to 15 % of the words, one by one."""
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    texts = {}
+    for family in range(24):
+        last = rng.choices(vocabulary, k=100)
+        for i in range(20):
+            own = list(last)
+            for at in rng.sample(range(100), 5 + family % 11):
+                own[at] = rng.choice(vocabulary)
+            texts[100 * family + i] = " ".join(own)
+            if i % 2:
+                last = own
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicates(df).collect()}
+    assert got == bucket_classes(texts)
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     got = near_dups.near_duplicates(odd).collect()
     assert len(got) == odd.count()
