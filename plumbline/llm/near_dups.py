@@ -8,7 +8,7 @@ its words proves an edit similarity, 1 less distance over the longer length, of
 No bucket is expanded into pairs. Texts with the same words are one text from the start. Then
 
 1. each text is verified against the least text that leads one of its buckets, one pair a text, and links are closed to
-   classes; then against the leaders that are still of other classes, one pair for each such class;
+   classes; then against the leaders that are still of other classes, one pair for each such class; the leaders this passes over are met in step 2;
 2. in buckets that still hold several classes, texts are compared by their counts of hashed words, in blocks of bounded
    size. A pair whose counts alone cost more edits than a link allows is none. Of the others, first a forest that spans
    each block's classes, of pairs that agree in most sketches, is verified, and classes are closed again. Where all pairs
@@ -357,9 +357,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         labels = stored(labels.join(onward, "root", "left").select("k", F.coalesce("onto", "root").alias("root")).union(joined), "labels")
         return True
 
-    if settled(led.groupBy("k").agg(F.min("leader").alias("a")).select("a", F.col("k").alias("b"))):
-        apart = in_classes(led.select("k", "leader").distinct(), "leader", "led").groupBy("k", "led").agg(F.min("leader").alias("a"))
-        settled(in_classes(apart, "k", "root").where("root != led").select("a", F.col("k").alias("b")))
+    settled(led.groupBy("k").agg(F.min("leader").alias("a")).select("a", F.col("k").alias("b")))
+    apart = in_classes(led.select("k", "leader").distinct(), "leader", "led").groupBy("k", "led").agg(F.min("leader").alias("a"))
+    settled(in_classes(apart, "k", "root").where("root != led").select("a", F.col("k").alias("b")))
     classed = stored(in_classes(members, "k", "root"), "classed")
     forest = stored(agreeing(classed, nodes, bucket_texts, similarity, True), "forest")
     settled(forest.select("a", "b").distinct())

@@ -244,6 +244,38 @@ def test_near_duplicates_of_spread_edits_lose_no_pair_of_a_bucket(spark):
     assert got == bucket_classes(texts)
 
 
+def edited(own, edits, rng):
+    own = list(own)
+    for at in rng.sample(range(len(own)), edits):
+        own[at] = f"e{rng.randrange(10**6)}"
+    return own
+
+
+def test_near_duplicates_try_every_leader(spark):
+    """Texts alike to one leader of a class but not to its least one; then one such text alone, where the least leaders link nothing."""
+    rng, texts = random.Random(9), {}
+    for i in range(300):
+        middle = rng.choices(range(5000), k=100)
+        for j, own in enumerate((middle, edited(middle, 10, rng), edited(middle, 12, rng))):
+            texts[3 * i + j] = " ".join(map(str, own))
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicates(df).collect()} == bucket_classes(texts)
+
+    def alone(seed):
+        rng = random.Random(seed)
+        own = [str(rng.randrange(5000)) for _ in range(100)]
+        trio = [own[:60] + [str(rng.randrange(5000)) for _ in range(60)], edited(own, 10, rng), own]
+        keys = [near_dups.xxhash.xxh3_128_digest(" ".join(x).encode()) for x in trio]
+        hashes = [np.array([near_dups.xxhash.xxh3_64_intdigest(w.encode()) for w in x], np.uint64) for x in trio]
+        first, second, text = (near_dups.order_min_hash(near_dups.labelled_shingles(x)) for x in hashes)
+        fits = keys == sorted(keys) and (first == text).any() and (first == second).any() and 0 < ((second == text) & (first != text)).sum() and (second == text).sum() < 5
+        return {i: " ".join(x) for i, x in enumerate(trio)} if fits else None
+
+    texts = next(filter(None, map(alone, range(10_000))))
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicates(df).collect()} == {0: 0, 1: 1, 2: 1}
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     got = near_dups.near_duplicates(odd).collect()
     assert len(got) == odd.count()
