@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,21 +18,48 @@ _fallback: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session; a temporary one only where that is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: the session's checkpoint folder. Only where none is set and driver and tasks are one
+    process (tests, a bench) a temporary one serves; a cluster without one is an error."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _fallback:
         _fallback["dir"] = tempfile.mkdtemp(prefix="plumbline-")
+        atexit.register(shutil.rmtree, _fallback["dir"], ignore_errors=True)
     return _fallback["dir"]
 
 
+class Scratch:
+    """An operator's tables in the shared folder. A stored table cuts lineage and survives lost executors."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def stored(self, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+        """``df`` written and read back."""
+        path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        writer = df.write.option("compression", codec) if codec else df.write
+        writer.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = back
+        return back
+
+    def dropped(self, *but: DataFrame) -> None:
+        """Deletes the tables stored so far, but those; call it when nothing that is still to run reads them."""
+        context = self.spark.sparkContext
+        for path, df in list(self.paths.items()):
+            if not any(df is x for x in but):
+                at = context._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+                del self.paths[path]
+
+
 def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", codec) if codec else df.write
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as a table in the shared folder and read it back."""
+    return Scratch(df.sparkSession).stored(df, name, codec)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

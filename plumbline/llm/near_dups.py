@@ -5,52 +5,82 @@ picks the ``PICKED`` least labelled shingles and keeps them in text order, so tw
 share those shingles in that order. Agreeing texts meet in a bucket; a pair counts as a link when a banded alignment of
 its words proves an edit similarity, 1 less distance over the longer length, of ``SIMILARITY`` or more.
 
+Recall: every pair that shares a bucket is verified or proven to be no link, so only pairs that share none are lost. Of
+pairs of 200 words with a fifth of them replaced at random, the least that a link may share, nine in ten share a bucket
+(``tests/llm`` measures it); with 15 % replaced 99 % do. Texts of few words keep few shingles: see README for them.
+
 No bucket is expanded into pairs. Texts with the same words are one text from the start. Then
 
 1. each text is verified against the least text that leads one of its buckets, one pair a text, and links are closed to
-   classes; then against the leaders that are still of other classes, one pair for each such class; the leaders this passes over are met in step 2;
-2. in buckets that still hold several classes, texts are compared by their counts of hashed words, in blocks of bounded
-   size. A pair whose counts alone cost more edits than a link allows is none. Of the others, first a forest that spans
-   each block's classes, of pairs that agree in most sketches, is verified, and classes are closed again. Where all pairs
-   of a bucket's forests are links, its pairs are in one class each; in other buckets all pairs of different classes are
-   verified, however few sketches they agree in, so that no link between texts that share a bucket is lost. A large group
-   of copies is one class by then and meets itself nowhere.
+   classes; then against the leaders that are still of other classes, one pair for each such class;
+2. in buckets that still hold several classes, texts of different classes are compared by their counts of hashed words.
+   A pair whose counts alone cost more edits than a link allows is none. Of the others, first a forest that spans each
+   block's classes is verified and classes are closed again; in buckets where a pair of the forest was no link, all pairs
+   that are still of different classes are verified.
+
+A large group of copies is one class by step 2 and meets itself nowhere. A bucket whose other texts would fill more than
+one block, such as those of a passage that many unlike texts share, is cut by rare words before: two texts that are a
+link share one of the rarest words that make up a fifth of each, whatever the order of rarity. So its texts meet only
+those that share such a word, and the work doesn't grow with the square of the bucket.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import row_key, slices, stored, text_of, texts
+from plumbline.llm._common import Scratch, row_key, slices, text_of, texts
 
 WORDS, SIMILARITY = 5, 0.8
-SKETCHES, PICKED = 40, 3
+SKETCHES, PICKED = 64, 2
 #: Texts of a bucket compared in one task.
-BUCKET_TEXTS = 1024
+BUCKET_TEXTS = 2048
 #: Counters of hashed words, of a byte each, that bound the edits between two texts from below.
 COUNTERS = 512
+#: Counters of how many texts hold a word, by its hash; they only order words by rarity.
+RARITY = 1 << 16
+#: Words whose hash a worker remembers.
+MEMO_WORDS = 300_000
 
-_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+_ANY_WORD, _PLAIN_WORD, _BEYOND = regex.compile(r"[\p{L}\p{M}\p{N}]+"), re.compile(r"[^\W_]+"), re.compile("[^\u0000-˿]")
+_ASCII = str.maketrans({chr(i): chr(i) if chr(i).isalnum() else " " for i in range(128)})
 _RANDOM = np.random.default_rng(20190705)
 _XOR = _RANDOM.integers(0, 1 << 63, SKETCHES, np.uint64) * np.uint64(2) + np.uint64(1)
-_TIMES = _RANDOM.integers(0, 1 << 63, SKETCHES, np.uint64) * np.uint64(2) + np.uint64(1)
+_TIMES = (_XOR >> np.uint64(11)).astype(np.uint32) | np.uint32(1)
 _PLACE = _RANDOM.integers(0, 1 << 63, WORDS + PICKED, np.uint64) * np.uint64(2) + np.uint64(1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str) -> list[str]:
-    """Lower-case runs of letters, marks and digits."""
-    return _WORD.findall(text.lower())
+    """Lower-case runs of letters, marks and digits. Below U+0300 there are no marks, and the plain patterns say the same."""
+    text = text.lower()
+    if text.isascii():
+        return text.translate(_ASCII).split()
+    return _ANY_WORD.findall(text) if _BEYOND.search(text) else _PLAIN_WORD.findall(text)
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return found
+
+
+_hash_of = _Hashes().__getitem__
+
+
+def word_hashes(own: list[str]) -> np.ndarray:
+    return np.fromiter(map(_hash_of, own), np.uint64, len(own))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -59,6 +89,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _labelled(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of items with their occurrence, in order: the first of equal ones, the second, and so on."""
+    n = len(hashes)
+    order = np.argsort(hashes, kind="stable")
+    in_order = hashes[order]
+    fresh = np.concatenate([[True], in_order[1:] != in_order[:-1]])
+    occurrence = np.empty(n, np.uint64)
+    occurrence[order] = (np.arange(n) - np.maximum.accumulate(np.where(fresh, np.arange(n), 0))).astype(np.uint64)
+    return _mixed(hashes + occurrence * _GOLD)
+
+
 def labelled_shingles(hashes: np.ndarray, size: int = WORDS) -> np.ndarray:
     """Hashes of the shingles with their occurrence, in text order; a shorter text is one shingle."""
     if len(hashes) == 0:
@@ -67,25 +108,25 @@ def labelled_shingles(hashes: np.ndarray, size: int = WORDS) -> np.ndarray:
     rolled = np.zeros(n, np.uint64)
     for j in range(min(size, len(hashes))):
         rolled += hashes[j : j + n] * _PLACE[j]
-    rolled = _mixed(rolled)
-    order = np.argsort(rolled, kind="stable")
-    in_order = rolled[order]
-    fresh = np.concatenate([[True], in_order[1:] != in_order[:-1]])
-    occurrence = np.empty(n, np.uint64)
-    occurrence[order] = (np.arange(n) - np.maximum.accumulate(np.where(fresh, np.arange(n), 0))).astype(np.uint64)
-    return _mixed(rolled + occurrence * _GOLD)
+    return _labelled(_mixed(rolled))
 
 
 def order_min_hash(shingles: np.ndarray, picked: int = PICKED) -> np.ndarray:
     """One hash per sketch, of the least labelled shingles in text order."""
     n, take = len(shingles), min(picked, len(shingles))
     out = np.empty(SKETCHES, np.uint64)
-    block = max(1, min(SKETCHES, (1 << 20) // n))
+    upper = (shingles >> np.uint64(32)).astype(np.uint32)
+    block = max(1, min(SKETCHES, (1 << 16) // n))
     for start in range(0, SKETCHES, block):
         s = slice(start, start + block)
-        keys = (shingles[None, :] ^ _XOR[s, None]) * _TIMES[s, None]
-        keys ^= keys >> np.uint64(29)
-        least = np.argpartition(keys, take - 1, axis=1)[:, :take] if n > take else np.tile(np.arange(n), (len(keys), 1))
+        keys = upper[None, :] ^ _XOR[s, None].astype(np.uint32)
+        keys *= _TIMES[s, None]
+        keys ^= keys >> np.uint32(15)
+        keys *= np.uint32(0x2C1B3C6D)
+        row, least = np.arange(len(keys)), np.empty((len(keys), take), np.int64)
+        for j in range(take):
+            least[:, j] = keys.argmin(axis=1)
+            keys[row, least[:, j]] = 0xFFFFFFFF
         least.sort(axis=1)
         total = np.zeros(len(keys), np.uint64)
         for j in range(take):
@@ -160,6 +201,16 @@ def least_edits(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return either - np.minimum(many.sum(axis=1, dtype=np.int64), one.sum(dtype=np.int64))
 
 
+def rare_words(hashes: np.ndarray, rarity: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Labelled words of a text of which it shares one with every text that is a link to it.
+
+    A link of n words lacks at most ``n * (1 - similarity)`` labelled words of the other text. So of the first words in an
+    order that is the same for all texts, one more than that, at least one is shared. ``rarity`` counts words by hash."""
+    labelled = _labelled(hashes)
+    order = np.lexsort((labelled, rarity[(hashes % np.uint64(len(rarity))).astype(np.int64)]))
+    return labelled[order[: int(len(hashes) * (1 - similarity) + 1e-9) + 1]]
+
+
 def spanning_forest(first: np.ndarray, second: np.ndarray, weight: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Places of pairs ``first, second`` that join all groups the pairs join, without a cycle; heavy pairs come first.
 
@@ -190,29 +241,27 @@ def spanning_forest(first: np.ndarray, second: np.ndarray, weight: np.ndarray, g
 
 
 def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, r1, r2, k, n_words, sketch, counts`` per row: the row's content key, the digest of its words (of the whole
-    text, if it has no words), their number, its sketches and its word counts."""
+    """``doc_id, r1, r2, k, n_words, sketch`` per row: the row's content key, the digest of its words (of the whole text, if
+    it has no words), their number and its sketches."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("t"))
     r1, r2 = row_key("doc_id", "t")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keys, sizes, sketches, counts = [], [], [], []
+            keys, sizes, sketches = [], [], []
             for value in texts(batch, "t"):
-                own = [w.encode() for w in words(value.decode("utf-8", "replace"))]
-                keys.append(xxhash.xxh3_128_digest(b" ".join(own) if own else b"\x00" + value))
+                own = words(value.decode("utf-8", "replace"))
+                keys.append(xxhash.xxh3_128_digest(" ".join(own).encode("utf-8", "replace") if own else b"\x00" + value))
                 sizes.append(len(own))
-                hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
-                sketches.append(order_min_hash(labelled_shingles(hashes)).view(np.int64) if own else np.zeros(0, np.int64))
-                counts.append(word_counts(hashes).tobytes())
-            out = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(counts, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *out], ["doc_id", "r1", "r2", "k", "n_words", "sketch", "counts"])
+                sketches.append(order_min_hash(labelled_shingles(word_hashes(own))).view(np.int64) if own else np.zeros(0, np.int64))
+            out = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *out], ["doc_id", "r1", "r2", "k", "n_words", "sketch"])
 
-    return rows.select("doc_id", r1.alias("r1"), r2.alias("r2"), "t").mapInArrow(sketch, "doc_id long, r1 long, r2 long, k binary, n_words int, sketch array<long>, counts binary")
+    return rows.select("doc_id", r1.alias("r1"), r2.alias("r2"), "t").mapInArrow(sketch, "doc_id long, r1 long, r2 long, k binary, n_words int, sketch array<long>")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``k, root``: for each end of a link ``a, b`` the least end it is linked to, directly or not.
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``id, root``: for each end of a link ``a, b`` the least end it is linked to, directly or not.
 
     Alternates large and small stars over edges from larger to smaller ends until they no longer change; a stage is a
     grouped minimum and a join, so a hub's edges are summed in many tasks and its join is one that Spark can split."""
@@ -227,20 +276,20 @@ def components(links: DataFrame) -> DataFrame:
         return met.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(own)
 
     state = None
-    edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
+    edges = scratch.stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
-            return edges.select(F.col("a").alias("k"), F.col("b").alias("root"))
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
         state = now
         large = linked_to_least(edges, True).distinct()
-        edges = stored(linked_to_least(large, False).where("a != b").distinct(), "edges")
+        edges = scratch.stored(linked_to_least(large, False).where("a != b").distinct(), "edges")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``a, b, linked`` for pairs of keys, by alignment of whole texts; ``docs`` has a text ``t`` for each key ``k``."""
-    left = docs.select(F.col("k").alias("a"), F.col("t").alias("ta"))
-    right = docs.select(F.col("k").alias("b"), F.col("t").alias("tb"))
+    """``a, b, linked`` for pairs of ids, by alignment of whole texts; ``docs`` has a text ``t`` for each ``id``."""
+    left = docs.select(F.col("id").alias("a"), F.col("t").alias("ta"))
+    right = docs.select(F.col("id").alias("b"), F.col("t").alias("tb"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,24 +297,95 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
             linked = [alike(words(x), words(y), similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    return rows.mapInArrow(align, "a binary, b binary, linked boolean")
+    return rows.mapInArrow(align, "a long, b long, linked boolean")
 
 
-def agreeing(members: DataFrame, nodes: DataFrame, bucket_texts: int = BUCKET_TEXTS, similarity: float = SIMILARITY, forest: bool = False) -> DataFrame:
-    """``h, a, b``: pairs of different classes that meet in a bucket and may be close enough by their lengths and word
-    counts. With ``forest``, only as many of a block as join its classes, those that agree most.
+def profiles(docs: DataFrame) -> DataFrame:
+    """``id, n_words, marks, counts`` of texts ``id, t``: 16 bits of each sketch, and the word counts."""
 
-    ``members`` has ``slot, h, k, root``, ``nodes`` has ``k, n_words, sketch, counts``. A bucket's largest class and its other
-    texts are dealt into blocks of ``bucket_texts``; a block of others meets each block. So a task holds two blocks,
-    however large the bucket is, and the largest class never meets itself. A pair is told only in the bucket of its first
-    agreeing sketch. Sketches are compared by their upper 32 bits; they travel with the dealt rows alone."""
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sizes, marks, counts = [], [], []
+            for value in texts(batch, "t"):
+                hashes = word_hashes(words(value.decode("utf-8", "replace")))
+                sizes.append(len(hashes))
+                marks.append(order_min_hash(labelled_shingles(hashes)).astype(np.uint16).tobytes())
+                counts.append(word_counts(hashes).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(marks, pa.binary()), pa.array(counts, pa.binary())], ["id", "n_words", "marks", "counts"])
+
+    return docs.select("id", "t").mapInArrow(profile, "id long, n_words int, marks binary, counts binary")
+
+
+def word_rarity(docs: DataFrame) -> np.ndarray:
+    """In how many texts ``t`` the words of each of ``RARITY`` hash classes stand; that many numbers, whatever the input."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RARITY, np.int64)
+        for batch in slices(batches):
+            for value in texts(batch, "t"):
+                total[np.unique((word_hashes(words(value.decode("utf-8", "replace"))) % np.uint64(RARITY)).astype(np.int64))] += 1
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["w", "n"])
+
+    out = np.zeros(RARITY, np.int64)
+    for r in docs.select("t").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect():
+        out[r["w"]] = r["n"]
+    return out
+
+
+def with_rare_words(docs: DataFrame, rarity: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
+    """``id, word``: a row for each of the :func:`rare_words` of each text ``id, t``."""
+    shared = docs.sparkSession.sparkContext.broadcast(rarity)
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [rare_words(word_hashes(words(value.decode("utf-8", "replace"))), shared.value, similarity) for value in texts(batch, "t")]
+            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64))], ["id", "word"])
+
+    return docs.select("id", "t").mapInArrow(explode, "id long, word long")
+
+
+def _sizes(members: DataFrame, bucket_texts: int) -> DataFrame:
+    """``h, largest, p, q`` of the buckets with several classes: the largest class, its number of blocks and that of the others."""
     by_class = members.groupBy("h", "root").agg(F.count("*").alias("n"))
     sizes = by_class.groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.max("n").alias("n_largest"), F.sum("n").alias("n"))
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / bucket_texts)).cast("int")
-    sizes = sizes.where("n > n_largest").select("h", "largest", blocks(F.col("n_largest")).alias("p"), blocks(F.col("n") - F.col("n_largest")).alias("q"))
-    classes = by_class.select("h", "root").join(sizes, "h").withColumn("other", F.col("root") != F.col("largest"))
-    rows = members.join(classes.select("h", "root", "other", "p", "q"), ["h", "root"])
-    place = F.pmod(F.xxhash64("k"), F.when(F.col("other"), F.col("q")).otherwise(F.col("p"))).cast("int")
+    return sizes.where("n > n_largest").select("h", "largest", blocks(F.col("n_largest")).alias("p"), blocks(F.col("n") - F.col("n_largest")).alias("q"))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows that agree in the first ``keys`` columns, from rows in their order."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        fresh = reduce(np.logical_or, [c[1:] != c[:-1] for c in columns])
+        ends = [*(np.flatnonzero(fresh) + 1), batch.num_rows]
+        if held and any(held[-1].column(i)[-1].as_py() != batch.column(i)[0].as_py() for i in range(keys)):
+            yield pa.Table.from_batches(held)
+            held = []
+        start = 0
+        for end in ends:
+            held.append(batch.slice(start, end - start))
+            if end < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+            start = end
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def close_pairs(members: DataFrame, sizes: DataFrame, known: DataFrame, bucket_texts: int = BUCKET_TEXTS, similarity: float = SIMILARITY, forest: bool = False) -> DataFrame:
+    """``h, a, b``: pairs of different classes in a bucket that agree in a sketch and may be close enough by their lengths
+    and word counts. With ``forest``, only as many of a block as join its classes, the closest first.
+
+    ``members`` has ``h, id, root``, ``sizes`` is from :func:`_sizes`, ``known`` from :func:`profiles`. A bucket's largest
+    class and its other texts are dealt into blocks of ``bucket_texts``; a block of others meets each block. So a task holds
+    two blocks, however large the bucket is, and the largest class never meets itself."""
+    rows = members.join(sizes, "h").withColumn("other", F.col("root") != F.col("largest"))
+    place = F.pmod(F.xxhash64("id"), F.when(F.col("other"), F.col("q")).otherwise(F.col("p"))).cast("int")
     pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     others = F.sequence(F.lit(0), F.col("q") - 1)
     meets = F.when(
@@ -278,105 +398,131 @@ def agreeing(members: DataFrame, nodes: DataFrame, bucket_texts: int = BUCKET_TE
     dealt = rows.withColumn("place", place).withColumn("meet", F.explode(meets))
     need = 1 - similarity
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        table = np.stack(group["sketch"].to_numpy())
-        counts = np.frombuffer(b"".join(group["counts"]), np.uint8).reshape(-1, COUNTERS)
-        size, keys = group["n_words"].to_numpy(), group["k"].to_numpy()
-        _, root = np.unique(group["root"].map(bytes), return_inverse=True)
-        slot = group["slot"].iloc[0]
+    def compared(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids, root, size = (group.column(c).to_numpy() for c in ("id", "root", "n_words"))
+        marks = np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint16).reshape(-1, SKETCHES)
+        counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint8).reshape(-1, COUNTERS)
         first, second, weight = [], [], []
-        for i in range(len(keys) - 1):
+        for i in range(len(ids) - 1):
             most = (np.maximum(size[i + 1 :], size[i]) * need + 1e-9).astype(np.int64)
-            rest = np.flatnonzero((root[i + 1 :] != root[i]) & (np.abs(size[i + 1 :] - size[i]) <= most)) + i + 1
+            rest = np.flatnonzero((root[i + 1 :] != root[i]) & (np.abs(size[i + 1 :] - size[i]) <= most))
             if len(rest):
-                same = table[rest] == table[i]
-                fit = same.argmax(axis=1) == slot
-                rest, agree = rest[fit], same[fit].sum(axis=1)
-                edits, most = least_edits(counts[i], counts[rest]), most[rest - i - 1]
-                fit = edits <= most
+                most, rest = most[rest], rest + i + 1
+                edits = least_edits(counts[i], counts[rest])
+                fit = (edits <= most) & (marks[rest] == marks[i]).any(axis=1)
                 first.append(np.full(fit.sum(), i))
                 second.append(rest[fit])
-                weight.append((agree - edits * SKETCHES / np.maximum(most, 1))[fit])
+                weight.append(-(edits / np.maximum(most, 1))[fit])
         if not first:
-            return pd.DataFrame({"h": [], "a": [], "b": []})
+            return ids[:0], ids[:0]
         first, second, weight = map(np.concatenate, (first, second, weight))
-        if forest:
-            chosen = spanning_forest(first, second, weight, root)
+        if forest and len(first):
+            chosen = spanning_forest(first, second, weight, np.unique(root, return_inverse=True)[1])
             first, second = first[chosen], second[chosen]
-        h = group["h"].iloc[0]
-        pairs = [(h, min(keys[i], keys[j]), max(keys[i], keys[j])) for i, j in zip(first, second, strict=True)]
-        return pd.DataFrame(pairs, columns=["h", "a", "b"])
+        return np.minimum(ids[first], ids[second]), np.maximum(ids[first], ids[second])
 
-    upper = nodes.select("k", "n_words", F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int")).alias("sketch"), "counts")
-    wanted = dealt.select("slot", "h", "k", "root", F.col("meet.x").alias("x"), F.col("meet.y").alias("y")).join(upper, "k")
-    return wanted.groupBy("h", "x", "y").applyInPandas(compare, "h long, a binary, b binary")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            a, b = compared(group)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), group.column("h")[0].as_py())), pa.array(a), pa.array(b)], ["h", "a", "b"])
+
+    wanted = dealt.select("h", F.col("meet.x").alias("x"), F.col("meet.y").alias("y"), "id", "root").join(known, "id")
+    ordered = wanted.select("h", "x", "y", "id", "root", "n_words", "marks", "counts").repartition("h", "x", "y").sortWithinPartitions("h", "x", "y", "id")
+    return ordered.mapInArrow(compare, "h long, a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bucket_texts: int = BUCKET_TEXTS) -> DataFrame:
     """``doc_id, r1, r2, class_id, kept``: one row per row of ``docs``.
 
-    Rows linked directly or by others share a class; ``class_id`` is its least id. ``kept`` marks the row with that id;
-    among rows that share it, one by content. Null ids come last; a class of null ids has a null ``class_id``. A null text
-    is empty; texts without words are alike only if equal. ``r1, r2`` is :func:`row_key` of id and text, null as empty."""
-    rows = stored(sketched(docs, doc_id, text), "sketches")
-    nodes = stored(rows.dropDuplicates(["k"]).select("k", "n_words", "sketch", "counts"), "nodes")
-    bands = nodes.where("n_words > 0").select("k", F.posexplode("sketch").alias("slot", "h"))
-    shared = bands.groupBy("slot", "h").agg(F.count("*").alias("n"), F.min("k").alias("leader")).where("n > 1").select("slot", "h", "leader")
-    shared = stored(shared, "buckets")
-    led = bands.join(shared.drop("slot"), "h").where("k != leader")
-    led = stored(led.select("slot", "h", "k", "leader"), "members")
-    members = led.select("slot", "h", "k").union(shared.select("slot", "h", "leader"))
+    Rows linked directly or by others share a class; ``class_id`` is its least id. ``kept`` marks one row of each class: a row
+    with that id, of several the first by content. Null ids come last; a class of null ids has a null ``class_id``. A null
+    text is empty; texts without words are alike only if equal. ``r1, r2`` is :func:`row_key` of id and text, null as empty.
+    An empty table gives no rows. Other columns of ``docs`` aren't read, whatever their names."""
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.stored(sketched(docs, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    nodes = scratch.stored(rows.dropDuplicates(["k"]).select(F.monotonically_increasing_id().alias("id"), "k", "r1", "r2", "n_words", "sketch"), "nodes")
+    bands = nodes.where("n_words > 0").select("id", F.explode("sketch").alias("h"))
+    buckets = scratch.stored(bands.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1").select("h", "leader"), "buckets")
+    members = scratch.stored(bands.join(buckets, "h").select("h", "id", "leader"), "members")
     whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("t"))
     r1, r2 = row_key("doc_id", "t")
-    needed = members.select("k").distinct()
-    chosen = rows.select("k", "r1", "r2").join(needed, "k").groupBy("k").agg(F.min(F.struct("r1", "r2")).alias("r")).select("k", "r.r1", "r.r2").distinct()
-    keyed = whole.withColumns({"r1": r1, "r2": r2}).join(chosen.hint("shuffle_hash"), ["r1", "r2"]).select("k", "t")
-    keyed = stored(keyed.dropDuplicates(["k"]), "texts", "zstd")
+    chosen = nodes.select("id", "r1", "r2").join(members.select("id").distinct(), "id", "left_semi")
+    keyed = whole.select(r1.alias("r1"), r2.alias("r2"), "t").join(chosen.hint("shuffle_hash"), ["r1", "r2"])
+    keyed = scratch.stored(keyed.dropDuplicates(["r1", "r2"]).select("id", "t"), "texts", "zstd")
 
     failed: list[DataFrame] = []
-    labels = members.select("k", F.col("k").alias("root")).where("false")
+    labels = members.select("id", F.col("id").alias("root")).where("false")
 
     def in_classes(df: DataFrame, column: str, root: str) -> DataFrame:
         """Adds the class of a text; a text without links is its own."""
-        own = labels.select(F.col("k").alias(column), F.col("root").alias(root))
+        own = labels.select(F.col("id").alias(column), F.col("root").alias(root))
         return df.join(own, column, "left").withColumn(root, F.coalesce(root, column))
 
-    def settled(pairs: DataFrame) -> bool:
-        """Verify pairs that weren't yet; whether any is linked. Classes that links join become one then."""
+    def settle(pairs: DataFrame) -> None:
+        """Verify pairs that weren't yet. Classes that links join become one."""
         nonlocal labels
         if failed:
             pairs = pairs.join(reduce(DataFrame.union, failed), ["a", "b"], "left_anti")
-        seen = stored(verified(pairs, keyed, similarity), "verified")
+        seen = scratch.stored(verified(pairs, keyed, similarity), "verified")
         failed.append(seen.where("not linked").select("a", "b"))
-        links = seen.where("linked")
+        links = seen.where("linked").select("a", "b")
         if not links.limit(1).count():
-            return False
-        between = in_classes(in_classes(links.select("a", "b"), "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        joined = components(between)  # of classes by their least texts, which have no label of their own
-        onward = joined.select(F.col("k").alias("root"), F.col("root").alias("onto"))
-        labels = stored(labels.join(onward, "root", "left").select("k", F.coalesce("onto", "root").alias("root")).union(joined), "labels")
-        return True
-
-    settled(led.groupBy("k").agg(F.min("leader").alias("a")).select("a", F.col("k").alias("b")))
-    apart = in_classes(led.select("k", "leader").distinct(), "leader", "led").groupBy("k", "led").agg(F.min("leader").alias("a"))
-    settled(in_classes(apart, "k", "root").where("root != led").select("a", F.col("k").alias("b")))
-    classed = stored(in_classes(members, "k", "root"), "classed")
-    forest = stored(agreeing(classed, nodes, bucket_texts, similarity, True), "forest")
-    settled(forest.select("a", "b").distinct())
-    open_buckets = forest.join(reduce(DataFrame.union, failed).distinct(), ["a", "b"], "left_semi").select("h").distinct()
-    rest = stored(members.join(open_buckets, "h", "left_semi"), "rest")
-    settled(agreeing(in_classes(rest, "k", "root"), nodes, bucket_texts, similarity).select("a", "b").distinct())
-
-    classed = rows.select("doc_id", "r1", "r2", "k").join(labels, "k", "left").withColumn("root", F.coalesce("root", "k"))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "r1", "r2")
-    best = classed.groupBy("root").agg(F.min(order).alias("best"))
-    return classed.join(best, "root").select("doc_id", "r1", "r2", F.col("best.doc_id").alias("class_id"), (order == F.col("best")).alias("kept"))
+            return
+        between = in_classes(in_classes(links, "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        joined = components(between, scratch)  # of classes by their least texts, which have no label of their own
+        onward = joined.select(F.col("id").alias("root"), F.col("root").alias("onto"))
+        labels = scratch.stored(labels.join(onward, "root", "left").select("id", F.coalesce("onto", "root").alias("root")).union(joined), "labels")
+
+    led = members.where("id != leader").select("id", "leader")
+    settle(led.groupBy("id").agg(F.min("leader").alias("a")).select("a", F.col("id").alias("b")))
+    apart = in_classes(led.distinct(), "leader", "led").groupBy("id", "led").agg(F.min("leader").alias("a"))
+    settle(in_classes(apart, "id", "root").where("root != led").select("a", F.col("id").alias("b")))
+
+    classed = in_classes(members.select("h", "id"), "id", "root")
+    sizes = scratch.stored(_sizes(classed, bucket_texts), "sizes")
+    still = scratch.stored(classed.join(sizes.select("h", "q"), "h"), "open")
+    at = lambda df: keyed.join(df.select("id").distinct(), "id")
+    known = scratch.stored(profiles(at(still)), "profiles")
+    cut = still.select("h", "id", "root")
+    if still.where("q > 1").limit(1).count():
+        crowded = scratch.stored(at(still.where("q > 1")), "crowded")
+        rare = with_rare_words(crowded, word_rarity(crowded), similarity)
+        dealt = still.where("q > 1").join(rare, "id").select(F.xxhash64("h", "word").alias("h"), "id", "root")
+        cut = scratch.stored(still.where("q = 1").select("h", "id", "root").union(dealt), "cut")
+        sizes = scratch.stored(_sizes(cut, bucket_texts), "sizes")
+    forest = scratch.stored(close_pairs(cut, sizes, known, bucket_texts, similarity, True), "forest")
+    settle(forest.select("a", "b").distinct())
+    unsettled = forest.join(reduce(DataFrame.union, failed).distinct(), ["a", "b"], "left_semi").select("h").distinct()
+    rest = scratch.stored(in_classes(cut.select("h", "id").join(unsettled, "h", "left_semi"), "id", "root"), "rest")
+    settle(close_pairs(rest, _sizes(rest, bucket_texts), known, bucket_texts, similarity).select("a", "b").distinct())
+
+    found = rows.select("doc_id", "r1", "r2", "row", "k").join(nodes.select("k", "id"), "k")
+    found = scratch.stored(in_classes(found, "id", "root").select("doc_id", "r1", "r2", "row", "root"), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "r1", "r2", "row")
+    best = found.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1").select("root", "best.doc_id", "best.row")
+    best = scratch.stored(best.select("root", F.col("doc_id").alias("class_id"), F.col("row").alias("stays")), "best")
+    out = found.join(best, "root", "left").select(
+        "doc_id", "r1", "r2",
+        F.when(F.col("stays").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce(F.col("row") == F.col("stays"), F.lit(True)).alias("kept"),
+    )
+    out = scratch.stored(out, "near_duplicates")
+    scratch.dropped(out)
+    return out
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, less those whose near duplicate stays. Rows alike in id and text share their fate."""
-    gone = near_duplicates(docs, doc_id, text).where("not kept").select(F.col("r1").alias("__pl_r1"), F.col("r2").alias("__pl_r2")).distinct()
+    """The rows of ``docs``, all columns, less those whose near duplicate stays: one row of each class.
+
+    Of rows alike in id and text, whatever else they hold, one stays. Names that begin with ``__pl`` are reserved."""
+    found = near_duplicates(docs, doc_id, text)
+    row = (F.col("r1").alias("__pl_r1"), F.col("r2").alias("__pl_r2"))
+    stays = found.where("kept").select(*row)
+    gone = found.where("not kept").select(*row).join(stays, ["__pl_r1", "__pl_r2"], "left_anti").distinct()
+    repeated = found.groupBy("r1", "r2").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
     own = docs.columns
     keyed = docs.withColumns({"__pl_i": F.col(doc_id).cast("long"), "__pl_t": text_of(text)})
     r1, r2 = row_key("__pl_i", "__pl_t")
-    return keyed.withColumns({"__pl_r1": r1, "__pl_r2": r2}).join(gone.hint("shuffle_hash"), ["__pl_r1", "__pl_r2"], "left_anti").select(*own)
+    left = keyed.withColumns({"__pl_r1": r1, "__pl_r2": r2}).join(gone.hint("shuffle_hash"), ["__pl_r1", "__pl_r2"], "left_anti")
+    return (left.dropDuplicates(["__pl_r1", "__pl_r2"]) if repeated else left).select(*own)

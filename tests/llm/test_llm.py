@@ -286,7 +286,8 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert found[7] == {7} and found[8] == {8} and found[None] == {1, 5}
     kept = near_dups.keep_one(odd)
     assert kept.columns == odd.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5, 6, 6, 7, 8, 9, 10]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5, 6, 7, 8, 9, 10]
+    assert Counter(r["class_id"] for r in got if r["kept"]) == dict.fromkeys([1, 3, 5, 6, 7, 8, 9, 10], 1)
     assert near_dups.near_duplicates(empty).count() == 0 and near_dups.keep_one(empty).count() == 0
 
 
