@@ -2,44 +2,45 @@
 
 from __future__ import annotations
 
-# The default English lexicons, severities and points.
+# The default English lexicons, severities and points. Findings, and so the snippets that a report shows,
+# come in the order of these lists.
 BANNED = (
-    "a testament to", "at the end of the day", "digital age", "dive deep", "ever-changing", "ever-evolving", "fast-paced world",
-    "first and foremost", "game-changer", "gone are the days", "harness the power", "in conclusion", "in summary", "in the modern world",
-    "in the realm of", "in today's fast-paced", "in today's world", "it is important to note", "it's worth noting", "last but not least",
-    "let's delve", "let's dive in", "look no further", "navigate the", "navigating the", "needless to say", "plays a crucial role",
-    "plays a pivotal role", "plays a vital role", "rich tapestry", "take it to the next level", "tapestry", "the world of",
-    "unleash the", "unlock the", "when it comes to", "whether you're",
+    "in today's world", "in today's fast-paced", "in the modern world", "gone are the days", "when it comes to", "at the end of the day",
+    "let's dive in", "let's delve", "dive deep", "in conclusion", "in summary", "it is important to note", "it's worth noting",
+    "needless to say", "last but not least", "first and foremost", "the world of", "navigate the", "navigating the", "unlock the",
+    "unleash the", "harness the power", "take it to the next level", "a testament to", "plays a crucial role", "plays a vital role",
+    "plays a pivotal role", "in the realm of", "ever-evolving", "ever-changing", "fast-paced world", "digital age", "game-changer",
+    "tapestry", "rich tapestry", "whether you're", "look no further",
 )
 HOLLOW = (
-    "best-in-class", "bustling", "comprehensive", "crucial", "cutting-edge", "delve", "elevate", "empower", "groundbreaking", "holistic",
-    "innovative", "leverage", "leveraging", "meticulous", "meticulously", "myriad", "optimize", "paradigm", "pivotal", "plethora",
-    "powerful", "revolutionary", "robust", "seamless", "seamlessly", "state-of-the-art", "streamline", "synergy", "transformative",
-    "underscore", "unparalleled", "vibrant", "vital", "world-class",
+    "seamless", "seamlessly", "robust", "powerful", "comprehensive", "cutting-edge", "state-of-the-art", "revolutionary", "groundbreaking",
+    "innovative", "world-class", "best-in-class", "unparalleled", "leverage", "leveraging", "elevate", "empower", "streamline", "optimize",
+    "holistic", "synergy", "paradigm", "transformative", "delve", "underscore", "pivotal", "myriad", "plethora", "bustling", "meticulous",
+    "meticulously", "vibrant", "crucial", "vital",
 )
 OPENERS = (
-    "additionally", "as we", "at the end of the day", "firstly", "furthermore", "imagine a world", "in conclusion", "in summary",
-    "in the realm of", "in the world of", "in this article", "in this guide", "in today", "let's", "moreover", "overall",
-    "picture this", "secondly", "thirdly", "to sum up", "when it comes to",
+    "in today", "imagine a world", "picture this", "in conclusion", "in summary", "to sum up", "when it comes to", "at the end of the day",
+    "in the world of", "in the realm of", "as we", "in this article", "in this guide", "let's", "firstly", "secondly", "thirdly",
+    "moreover", "furthermore", "additionally", "overall",
 )
 HEDGES = (
-    "arguably", "fairly", "generally", "in some ways", "it could be argued", "kind of", "maybe", "might", "often", "one could say",
-    "perhaps", "possibly", "relatively", "seemingly", "somewhat", "sort of", "to some extent", "typically", "usually",
+    "perhaps", "might", "maybe", "arguably", "somewhat", "generally", "typically", "often", "usually", "fairly", "relatively", "possibly",
+    "seemingly", "kind of", "sort of", "in some ways", "to some extent", "it could be argued", "one could say",
 )
-ABBREVIATIONS = ("al", "cf", "co", "dr", "e.g", "etc", "fig", "i.e", "inc", "jr", "ltd", "mr", "mrs", "ms", "no", "prof", "sr", "st", "vs")
+ABBREVIATIONS = ("mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st", "vs", "etc", "e.g", "i.e", "cf", "al", "fig", "no", "inc", "ltd", "co")
 FUNCTION_WORDS = (
-    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "has", "have", "in", "is", "it", "not", "of", "on", "or",
-    "that", "the", "their", "they", "this", "to", "was", "we", "which", "with", "you",
+    "the", "and", "of", "to", "in", "that", "is", "for", "it", "with", "as", "was", "on", "be", "this", "by", "an", "are", "at", "from",
+    "or", "we", "you", "not", "but", "have", "has", "they", "their", "which", "a",
 )
 #: Phrase to replacement; an empty one deletes.
 FIXES = {
-    "bustling": "busy", "comprehensive": "complete", "crucial": "key", "cutting-edge": "new", "delve": "dig", "elevate": "raise",
-    "first and foremost": "", "groundbreaking": "new", "in conclusion": "", "in summary": "", "in the modern world": "",
-    "in today's world": "", "innovative": "new", "it is important to note": "", "it's worth noting": "", "last but not least": "",
-    "leverage": "use", "leveraging": "using", "meticulous": "careful", "meticulously": "carefully", "myriad": "many",
-    "needless to say": "", "optimize": "improve", "pivotal": "key", "plethora": "many", "powerful": "strong", "revolutionary": "new",
-    "robust": "solid", "seamless": "smooth", "seamlessly": "smoothly", "state-of-the-art": "advanced", "streamline": "simplify",
-    "underscore": "highlight", "vibrant": "lively", "vital": "key",
+    "seamless": "smooth", "seamlessly": "smoothly", "robust": "solid", "powerful": "strong", "comprehensive": "complete",
+    "cutting-edge": "new", "state-of-the-art": "advanced", "revolutionary": "new", "groundbreaking": "new", "innovative": "new",
+    "leverage": "use", "leveraging": "using", "elevate": "raise", "streamline": "simplify", "optimize": "improve", "myriad": "many",
+    "plethora": "many", "meticulous": "careful", "meticulously": "carefully", "vibrant": "lively", "bustling": "busy", "crucial": "key",
+    "vital": "key", "pivotal": "key", "delve": "dig", "underscore": "highlight", "in today's world": "", "in the modern world": "",
+    "it is important to note": "", "it's worth noting": "", "needless to say": "", "first and foremost": "", "last but not least": "",
+    "in conclusion": "", "in summary": "",
 }
 SEVERITY = {"banned-phrase": "high", "hollow-confidence": "med", "triad": "low", "negation-pivot": "high", "hedge-stack": "low", "cliche-opener": "low"}
 POINTS = {"high": 6, "med": 4, "low": 2}
@@ -47,7 +48,13 @@ RULES = tuple(SEVERITY)
 #: Upper score of each grade but the last.
 GRADES = (("A", 10), ("B", 25), ("C", 45), ("D", 70))
 PROSE_EXTENSIONS = ("md", "markdown", "mdx", "txt", "html", "htm", "rst")
+#: A page of fewer words shows no score.
+LEAST_PAGE_WORDS = 6
+#: What a grade says, and its class.
+VERDICTS = {"A": "Reads human.", "B": "Mostly human. A couple of tells.", "C": "Some robotic texture.", "D": "Reads machine-made.", "F": "Heavily robotic."}
+BUCKETS = {"A": "good", "B": "good", "C": "warn", "D": "bad", "F": "bad"}
 SKIPPED_FOLDERS = ("node_modules", "dist", "build", "out", "target", "vendor", "coverage", ".next", ".cache")
+#: Replaced one after another, so the ampersand comes last: what it gives is never read as a reference again.
 ENTITIES = {
     "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&mdash;": "—", "&ndash;": "–",
     "&hellip;": "…", "&rsquo;": "’", "&lsquo;": "‘", "&ldquo;": "“", "&rdquo;": "”", "&middot;": "·", "&amp;": "&",
@@ -67,6 +74,13 @@ PIVOTS = (
 )
 TRIAD = r"\b[\w'’-]+,\s+[\w'’-]+,\s+(?:and|or)\s+[\w'’-]+"
 DASHES = "—|--|&mdash;"
+#: Comments, elements without visible text, ends of blocks, line breaks and other tags of HTML. RE2 and Java read them alike.
+HTML_COMMENT, HTML_HIDDEN = r"<!--[\s\S]*?-->", r"(?i)<script(?:[^A-Za-z0-9_>][^>]*)?>[\s\S]*?</script>|<style(?:[^A-Za-z0-9_>][^>]*)?>[\s\S]*?</style>"
+HTML_BLOCK_END = f"(?i)</(?:p|div|li|h[1-6]|section|article|header|footer|blockquote|tr|figcaption){WS}*>"
+HTML_BREAK, HTML_TAG = f"(?i)<br{WS}*/?>", "<[^>]+>"
+#: How a line of an interface begins, which is no prose; what a uniform rhythm is called.
+CHROME = f"(?i)^(like|comment|share|reply|follow|following|see more|view|edited|[0-9]+{WS}*(likes?|comments?|shares?)|[0-9]+[hdwmy]|·)"
+UNIFORM_NOTE = "every sentence the same length"
 
 
 def ascii_bounds(pattern: str) -> str:

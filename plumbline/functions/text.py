@@ -85,26 +85,30 @@ def code_point(n: Column) -> Column:
     return F.when((n >= 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("")
 
 
-def decode_numeric(c: Column) -> Column:
-    """Decimal, then hexadecimal character references."""
+def _decoded(text: Column, pattern: str, prefix: str, base: int) -> Column:
+    """Each reference that matches ``pattern`` as its character; what a reference gives is not looked at again."""
+
+    def character(ref: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_replace(ref, prefix, ""), ";", "")
+        number = F.conv(digits, base, 10).cast("long") if base != 10 else digits.cast("long")
+        return F.when(F.char_length(digits) <= 8, F.coalesce(code_point(F.when(digits == "", F.lit(0).cast("long")).otherwise(number)), F.lit(""))).otherwise("")
 
-    def pass_(text: Column, pattern: str, digits: Callable[[Column], Column]) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-        return F.when(text.contains("&#"), F.aggregate(found, text, lambda acc, ref: F.replace(acc, ref, F.coalesce(code_point(digits(ref)), F.lit(""))))).otherwise(text)
+    parts, refs = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    joined = F.array_join(F.zip_with(parts, F.transform(refs, character), lambda part, c: F.concat(part, F.coalesce(c, F.lit("")))), "")
+    return F.when(text.contains("&#"), joined).otherwise(text)
 
-    number = lambda ref: F.expr("0").cast("long") + F.substring(F.regexp_extract(ref, "([0-9]+)", 1), -18, 18).cast("long")
-    dec = pass_(c, "&#[0-9]+;", number)
-    hexa = lambda ref: F.conv(F.substring(F.regexp_extract(ref, "(?i)&#x([0-9a-f]+);", 1), -15, 15), 16, 10).cast("long")
-    return pass_(dec, "(?i)&#x[0-9a-f]+;", hexa)
+
+def decode_numeric(c: Column) -> Column:
+    """Decimal, then hexadecimal character references, each pass over its text once; surrogates and numbers beyond the last
+    code point give nothing."""
+    return let(let(c, lambda t: _decoded(t, "&#[0-9]+;", "^&#0*", 10)), lambda t: _decoded(t, "(?i)&#x[0-9a-f]+;", "^&#[xX]0*", 16))
 
 
 def strip_html(c: Column) -> Column:
     """Visible text: no comments, scripts or styles; block ends are line breaks; named, then numeric references decoded."""
-    s = F.regexp_replace(as_text(c), r"<!--[\s\S]*?-->", " ")
-    s = F.regexp_replace(s, r"(?i)<script(?![A-Za-z0-9_])[^>]*>[\s\S]*?</script>|<style(?![A-Za-z0-9_])[^>]*>[\s\S]*?</style>", " ")
-    s = F.regexp_replace(s, f"(?i)</(?:p|div|li|h[1-6]|section|article|header|footer|blockquote|tr|figcaption){L.WS}*>", "\n")
-    s = F.regexp_replace(s, f"(?i)<br{L.WS}*/?>", "\n")
-    s = F.regexp_replace(s, "<[^>]+>", " ")
+    s = as_text(c)
+    for pattern, new in ((L.HTML_COMMENT, " "), (L.HTML_HIDDEN, " "), (L.HTML_BLOCK_END, "\n"), (L.HTML_BREAK, "\n"), (L.HTML_TAG, " ")):
+        s = F.regexp_replace(s, pattern, new)
     for name, value in L.ENTITIES.items():
         s = F.replace(s, F.lit(name), F.lit(value))
     s = decode_numeric(s)
@@ -142,3 +146,14 @@ def rounded(c: Column, digits: int = 0) -> Column:
 
 def base64url(c: Column) -> Column:
     return F.rtrim(F.translate(F.replace(F.base64(c), F.lit("\r\n"), F.lit("")), "+/", "-_"), F.lit("="))
+
+
+def number_text(c: Column, digits: int) -> Column:
+    """A number rounded to ``digits`` places as it is shown: without zeros at its end."""
+    whole = rounded(c, digits)
+    return F.regexp_replace(F.format_string(f"%.{digits}f", whole), r"\.?0+\z", "") if digits else F.format_string("%.0f", whole.cast("double"))
+
+
+def page_words(c: Column) -> Column:
+    """Words of a page, parted by white space."""
+    return F.size(F.filter(F.split(collapse_space(as_text(c)), " "), lambda w: w != "")).cast("long")

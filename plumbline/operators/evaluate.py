@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from plumbline.functions import lexicon as L
 from plumbline.functions import text as T
 from plumbline.plans.score import COUNTS
 
@@ -82,15 +81,24 @@ def gap_closed(base: Column, prompt: Column, arm: Column) -> Column:
 def holdout(pairs: DataFrame, source: str, text: str, share: float = 0.15) -> DataFrame:
     """Adds ``held``: the first rows by (source, sha1 of the text), as many as the half-even rounded share, one at least.
 
-    Rows are numbered inside a source and moved up by the sources before it, so no window sees all rows; sources are few."""
-    keyed = pairs.withColumn("_sha", F.sha1(T.as_text(F.col(text))))
-    sizes = pairs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source")).agg(F.count("*").alias("_size"))
-    order, whole = W.orderBy("_source").rowsBetween(W.unboundedPreceding, -1), W.orderBy("_source").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    moved = sizes.select("_source", F.coalesce(F.sum("_size").over(order), F.lit(0)).alias("_moved"), F.sum("_size").over(whole).alias("_all"))
-    inside = W.partitionBy("_source").orderBy("_sha", text)
-    placed = keyed.withColumn("_source", F.coalesce(F.col(source).cast("string"), F.lit(""))).join(moved, "_source").withColumn("_n", F.row_number().over(inside) + F.col("_moved"))
-    k = F.greatest(F.lit(1.0), F.bround(F.col("_all") * share))
-    return placed.withColumn("held", F.col("_n") <= k).drop("_sha", "_source", "_moved", "_all", "_n")
+    Counts by source tell which sources are held whole, which not at all, and which one is cut; there, counts by the first
+    digits of the hash tell where. Only the rows of that one range, about one in 65,536 of its source, are put in order."""
+    keyed = pairs.withColumns({"_sha": F.sha1(T.as_text(F.col(text))), "_source": F.coalesce(F.col(source).cast("string"), F.lit(""))})
+    keyed = keyed.withColumn("_digits", F.left("_sha", F.lit(4)))
+    sizes = keyed.groupBy("_source", "_digits").agg(F.count("*").alias("_rows"))
+    sources = sizes.groupBy("_source").agg(F.sum("_rows").alias("_size"))
+    before, whole = W.orderBy("_source").rowsBetween(W.unboundedPreceding, -1), W.orderBy("_source").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    k = F.greatest(F.lit(1.0), F.bround(F.sum("_size").over(whole) * share)).cast("long")
+    sources = sources.select("_source", "_size", F.least("_size", F.greatest(F.lit(0).cast("long"), k - F.coalesce(F.sum("_size").over(before), F.lit(0)))).alias("_take"))
+    inside = W.partitionBy("_source").orderBy("_digits").rowsBetween(W.unboundedPreceding, -1)
+    cut = sizes.join(sources.where("_take > 0 and _take < _size"), "_source").withColumn("_before", F.coalesce(F.sum("_rows").over(inside), F.lit(0)))
+    cut = cut.select("_source", "_digits", (F.col("_take") - F.col("_before")).alias("_left"), "_rows")
+    placed = keyed.join(sources, "_source").join(cut, ["_source", "_digits"], "left")
+    known = F.when(F.col("_left").isNull(), F.col("_take") > 0).when(F.col("_left") >= F.col("_rows"), True).when(F.col("_left") <= 0, False)
+    placed = placed.withColumn("held", known)
+    edge = placed.where("held is null").withColumn("_n", F.row_number().over(W.partitionBy("_source", "_digits").orderBy("_sha", text)))
+    edge = edge.withColumn("held", F.col("_n") <= F.col("_left"))
+    return placed.where("held is not null").select(*pairs.columns, "held").union(edge.select(*pairs.columns, "held"))
 
 
 def filter_pairs(scored: DataFrame, limit: int = 15) -> DataFrame:
@@ -98,10 +106,38 @@ def filter_pairs(scored: DataFrame, limit: int = 15) -> DataFrame:
     return scored.withColumn("kept", F.col("score") <= limit)
 
 
+def kept_pairs(scored: DataFrame, columns: list[str], limit: int = 15) -> DataFrame:
+    """The pairs that stay, without what scoring added: what a JSON-lines sink writes."""
+    return filter_pairs(scored, limit).where("kept").select(*columns)
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """A JSON object a line; null fields are left out. Files are written by the tasks that hold the rows."""
+    df.write.json(path)
+
+
+def outputs_of(samples: DataFrame, arms: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """Each held-out sample with its arm's output, empty where there is none."""
+    own = arms.select(F.col(key), F.col(text).alias("output"))
+    return samples.join(own, key, "left").withColumn("output", T.as_text(F.col("output")))
+
+
+def paired(samples: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The samples whose ids are listed, once for each time they are."""
+    return samples.join(ids.select(key), key)
+
+
+def first_outputs(outputs: DataFrame, key: str, most: int = 10) -> DataFrame:
+    """The first outputs by key, for a person to read."""
+    return outputs.orderBy(key).limit(most)
+
+
 def best_of(drafts: DataFrame, group: str, order: str) -> DataFrame:
     """The draft of least score per group, the first among equals."""
     return drafts.groupBy(group).agg(F.min_by(F.struct(*drafts.columns), F.struct("score", order)).alias("d")).select("d.*")
 
 
-def rule_names() -> tuple[str, ...]:
-    return L.RULES
+def fired_rules(scored: DataFrame) -> DataFrame:
+    """``rule``: the names of the rules that fire in any row, in order of name."""
+    fired = F.array_compact(F.array(*[F.when(F.max(c) > 0, rule) for rule, c in COUNTS.items()]))
+    return scored.agg(fired.alias("rules")).select(F.explode(F.array_sort("rules")).alias("rule"))

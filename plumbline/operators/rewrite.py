@@ -4,48 +4,69 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import lexicon as L
 from plumbline.functions import text as T
+from plumbline.plans.score import COUNTS
 
 _QUOTE = "['‘’‛ʼ]"
+_EDGE = f"[A-Za-z{_QUOTE[1:]}"
+#: Stands between parts in :func:`tidy`; a text that holds it already is cut there too.
+_CUT = "\x01\x02"
 
 
-def _pattern(phrase: str) -> str:
-    spelled = re.escape(phrase).replace(r"\ ", " ").replace(r"\-", "-").replace("'", _QUOTE)
-    edge = f"[A-Za-z{_QUOTE[1:]}"
-    return f"(?<!{edge})%s{spelled}(?!{edge})"
+def _pattern(fixes: dict[str, str]) -> str:
+    """One expression of all phrases; deleted ones take the comma or ``that`` behind them along. No two of the default ones overlap."""
+    spell = lambda p: re.escape(p).replace(r"\ ", " ").replace(r"\-", "-").replace("'", _QUOTE)
+    by_length = sorted(fixes, key=lambda p: (-len(p), p))
+    gone = "|".join(spell(p) for p in by_length if not fixes[p])
+    swapped = "|".join(spell(p) for p in by_length if fixes[p])
+    tail = f"{L.WS}*,?{L.WS}*(?:that{L.WS}+)?"
+    either = [f"(?:{gone})(?!{_EDGE}){tail}"] * bool(gone) + [f"(?:{swapped})(?!{_EDGE})"] * bool(swapped)
+    return f"(?i)(?<!{_EDGE})(?:{'|'.join(either)})"
 
 
-def swap_phrases(c: Column, fixes: dict[str, str] | None = None) -> Column:
-    """Phrases replaced, keeping a capital at their start; deleted ones take the comma or ``that`` behind them along.
+def fixed_phrases(c: Column, fixes: dict[str, str] | None = None) -> Column:
+    """``(text, applied)``: phrases replaced, keeping a capital at their start, and how many were.
 
-    One look for any phrase spares most texts the chain of replacements."""
+    The text is cut around the hits once, and each hit is looked up; so the work doesn't grow with the table of fixes."""
     fixes = L.FIXES if fixes is None else fixes
+    if not fixes:
+        return F.struct(c.alias("text"), F.lit(0).cast("long").alias("applied"))
+    table = F.create_map(*[F.lit(x) for p, new in fixes.items() if new for x in (p, new)]) if any(fixes.values()) else F.create_map(F.lit(""), F.lit(""))
+
+    def new_words(hit: Column) -> Column:
+        new = F.coalesce(F.try_element_at(table, F.lower(T.normalize_quotes(hit))), F.lit(""))
+        return F.when(hit.rlike("^[A-Z]"), F.concat(F.upper(F.left(new, F.lit(1))), F.substr(new, F.lit(2)))).otherwise(new)
 
-    def chain(text: Column) -> Column:
-        done = text
-        for phrase, new in fixes.items():
-            pattern = _pattern(phrase)
-            if new:
-                done = F.regexp_replace(done, pattern % "(?=[A-Z])(?i)", new[0].upper() + new[1:])
-                done = F.regexp_replace(done, "(?i)" + pattern % "", new)
-            else:
-                done = F.regexp_replace(done, "(?i)" + pattern % "" + r"\s*,?\s*(?:that\s+)?", "")
-        return F.when(F.lower(T.normalize_quotes(text)).rlike(L.alternation(tuple(fixes))), done).otherwise(text)
+    def rewritten(text: Column, hits: Column) -> Column:
+        joined = F.array_join(F.zip_with(F.split(text, _pattern(fixes)), hits, lambda part, hit: F.concat(part, F.coalesce(new_words(hit), F.lit("")))), "")
+        return F.struct(F.when(F.size(hits) > 0, joined).otherwise(text).alias("text"), F.size(hits).cast("long").alias("applied"))
 
-    return T.let(c, chain)
+    return T.let(c, lambda text: T.let(F.regexp_extract_all(text, F.lit(_pattern(fixes)), F.lit(0)), lambda hits: rewritten(text, hits)))
+
+
+def swap_phrases(c: Column, fixes: dict[str, str] | None = None) -> Column:
+    """The text of :func:`fixed_phrases`."""
+    return fixed_phrases(c, fixes)["text"]
 
 
 def tidy(c: Column) -> Column:
-    """Blanks collapsed, none before punctuation, nothing but text at the start, capitals after sentence ends."""
+    """Blanks collapsed, none before punctuation, nothing but text at the start, capitals after sentence ends, however far."""
     c = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[ \t]{2,}", " "), "[ \t]+([,.;:!?])", "$1"), f"^(?:{L.WS}|[,;])+", "")
-    parts = F.split(c, r"(?<=[.!?]\s{1,64})(?=[a-z])")
+    parts = F.split(F.regexp_replace(c, f"([.!?]{L.WS}+)(?=[a-z])", f"$1{_CUT}"), _CUT)
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[a-z]"), F.concat(F.upper(F.left(p, F.lit(1))), F.substr(p, F.lit(2)))).otherwise(p)), "")
 
 
 def apply_fixes(c: Column, fixes: dict[str, str] | None = None) -> Column:
     """The rewritten text; a null text is empty."""
     return tidy(swap_phrases(T.as_text(c), fixes))
+
+
+def fix_report(scored: DataFrame, text: str = "text", fixes: dict[str, str] | None = None) -> DataFrame:
+    """Adds ``fixed``, ``applied`` and ``skipped``, the findings that are left to a person, to scored rows."""
+    found = sum((F.col(c) for c in COUNTS.values()), F.lit(0))
+    done = scored.withColumn("_fix", fixed_phrases(T.as_text(F.when(~F.col("oversize"), F.col(text))), fixes))
+    return done.withColumns({"fixed": tidy(F.col("_fix.text")), "applied": F.col("_fix.applied"), "skipped": found - F.col("_fix.applied")}).drop("_fix")

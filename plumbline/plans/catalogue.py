@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import partial
 
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 from pyspark.sql import Window as W
 
+from plumbline.functions import lexicon as L
 from plumbline.functions import text as T
 from plumbline.operators import corpus, evaluate, rewrite
-from plumbline.plans.score import COUNTS, analyze, measure, with_findings
+from plumbline.plans.score import COUNTS, analyze, measure, result_json, with_findings
 from plumbline.sources import files
 
 SPIKES = (
@@ -106,11 +108,21 @@ def q_source_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.gate(scored(spark, sf_dir), "source", GATE)
 
 
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose lines are paragraphs, with blocks of no words, a line of a carriage return alone, and blanks between."""
+    tail = F.lit("\n\n---\n\t\n123 456\n\nfirst half\n\r\nsecond half\n \n\n  \nlast words here.")
+    return spiked(spark, sf_dir).select("doc_id", F.concat(F.replace("text", F.lit("\n"), F.lit("\n \t\n")), tail).alias("text"))
+
+
 def q_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus.analyze_paragraphs(spiked(spark, sf_dir), separator="\n")
+    rows = corpus.analyze_paragraphs(_blocks(spark, sf_dir))
     return rows.select("doc_id", F.col("index").cast("long").alias("index"), "snippet", "n_words", "score", "grade")
 
 
+def q_paragraph_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.paragraph_table(corpus.analyze_paragraphs(_blocks(spark, sf_dir)))
+
+
 def q_strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = files.spread(table(spark, sf_dir, "pages")).withColumn("visible", T.strip_html(F.col("html")))
     return analyze(pages, "visible").select("page_id", "visible", "n_words", "score", "grade")
@@ -180,17 +192,27 @@ def q_holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_apply_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spiked(spark, sf_dir).withColumn("fixed", rewrite.apply_fixes(F.col("text")))
-    before = analyze(docs).select("doc_id", "fixed", F.col("score").alias("before"))
-    return analyze(before, "fixed").select("doc_id", F.sha2("fixed", 256).alias("fixed_sha256"), "before", F.col("score").alias("after"))
+    before = rewrite.fix_report(analyze(spiked(spark, sf_dir))).select("doc_id", "fixed", "applied", "skipped", F.col("score").alias("before"))
+    return analyze(before, "fixed").select("doc_id", F.sha2("fixed", 256).alias("fixed_sha256"), "applied", "skipped", "before", F.col("score").alias("after"))
+
+
+def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A diff made of each document's lines: every third line is added to a Markdown file, others to files of no prose."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("diff_id"), F.split(T.as_text(F.col("text")), "\n").alias("lines"))
+
+    def lines(raw: Column, at: Column) -> Column:
+        head = F.when(at % 3 == 0, F.concat(F.lit("+++ b/notes/f"), F.pmod(at, F.lit(2)).cast("string"), F.lit(".md\tnow"))).when(at % 3 == 1, F.lit("+++ b/src/x.py")).otherwise(F.lit("+++ /dev/null"))
+        return F.concat(head, F.lit("\n+"), raw)
+
+    return docs.select("diff_id", F.array_join(F.transform("lines", lines), "\n").alias("text"))
 
 
 def q_diff_added(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A diff made of each document's lines: odd lines added to a Markdown file, others to a file of no prose."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(T.as_text(F.col("text")), "\n")).alias("at", "raw"))
-    head = F.when(F.col("at") % 3 == 0, F.concat(F.lit("+++ b/notes/f"), F.pmod("at", F.lit(2)).cast("string"), F.lit(".md\tnow"))).when(F.col("at") % 3 == 1, F.lit("+++ b/src/x.py")).otherwise(F.lit("+++ /dev/null"))
-    lines = docs.select(F.col("doc_id").alias("diff_id"), F.explode(F.array(F.struct((F.col("at") * 2).alias("pos"), head.alias("line")), F.struct((F.col("at") * 2 + 1).alias("pos"), F.concat(F.lit("+"), "raw").alias("line")))).alias("x")).select("diff_id", "x.pos", "x.line")
-    return corpus.added_prose_by_file(lines)
+    return corpus.added_prose_by_file(corpus.diff_lines(_diffs(spark, sf_dir)))
+
+
+def q_diff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.scored_diff(corpus.diff_lines(_diffs(spark, sf_dir))).select("diff_id", "file", "n_words", "score", "grade")
 
 
 def q_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,6 +229,49 @@ def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.format_report(analyze(with_findings(spiked(spark, sf_dir)))).select("doc_id", "report")
 
 
+def q_result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyze(with_findings(spiked(spark, sf_dir))).select("doc_id", result_json().alias("result"))
+
+
+def q_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with enough words to be shown a score, in two of the languages."""
+    rows = corpus.in_languages(spiked(spark, sf_dir), ("en", "fr")).withColumn("page_words", T.page_words(F.col("text")))
+    shown = analyze(rows.where(F.col("page_words") >= L.LEAST_PAGE_WORDS))
+    return shown.select("doc_id", "page_words", "grade", corpus.verdict(F.col("grade")).alias("verdict"), corpus.bucket(F.col("grade")).alias("bucket"))
+
+
+def q_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.diagnostics(with_findings(spiked(spark, sf_dir)))
+
+
+def q_rules_fired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.fired_rules(scored(spark, sf_dir))
+
+
+def q_kept_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = pairs(spark, sf_dir)
+    return evaluate.kept_pairs(analyze(own, "output"), own.columns, PAIR_LIMIT)
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("sample"))
+
+
+def q_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items, each with the English document of its id as an arm's output, or none."""
+    arms = table(spark, sf_dir, "documents").where(F.col("lang") == "en").select(F.col("doc_id").alias("id"), "text")
+    return evaluate.outputs_of(_samples(spark, sf_dir), arms)
+
+
+def q_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    return evaluate.paired(_samples(spark, sf_dir), ids).select("id", "sample")
+
+
+def q_first_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.first_outputs(pairs(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "output"), "id")
+
+
 def q_corpus_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that break the protocol: repeated ids, empty texts, unknown labels, labels without a document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -219,20 +284,32 @@ def q_corpus_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_binary_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as EPUB bytes, made in each task and read back as text."""
+    """Each page as a PDF, a DOCX and an EPUB of several parts, made in the tasks and read back as text."""
     import io
     import zipfile
+    import zlib
+    from html import escape
 
     import pandas as pd
 
+    def archive(parts: dict[str, str]) -> bytes:
+        with zipfile.ZipFile(held := io.BytesIO(), "w", zipfile.ZIP_DEFLATED) as z:
+            for name, body in parts.items():
+                z.writestr(name, body)
+        return held.getvalue()
+
+    def pdf(line: str) -> bytes:
+        shown = re.sub(r"([()\\])", r"\\\1", re.sub("[^ -~]+", " ", line))
+        return b"%PDF<</Length 1/Filter/FlateDecode>>\nstream\n" + zlib.compress(f"BT ({shown}) Tj ET".encode("latin-1")) + b"\nendstream<</Filter/DCTDecode>>stream\n(no)Tj\nendstream"
+
     def pack(batches):
         for batch in batches:
             out = []
             for page, body in zip(batch["page_id"], batch["html"], strict=True):
-                with zipfile.ZipFile(held := io.BytesIO(), "w", zipfile.ZIP_DEFLATED) as z:
-                    z.writestr("OEBPS/nav.xhtml", "skip")
-                    z.writestr("OEBPS/part1.xhtml", body or "")
-                out.append((f"{page}.epub", held.getvalue()))
+                out.append((f"{page}.pdf", pdf(body or "")))
+                out.append((f"{page}.docx", archive({"word/document.xml": f"<w:p><w:r>{escape(body or '', quote=False)}</w:r></w:p><w:p>page<w:tab/>{page}</w:p>"})))
+                parts = {"OEBPS/nav.xhtml": "skip", "OEBPS/navigation.xhtml": body or "", "OEBPS/title page.html": "skip", "OEBPS/discovery.xhtm": "<p>", "OEBPS/last.HTM": f"<p>part of {page}</p>"}
+                out.append((f"{page}.epub", archive(parts)))
             yield pd.DataFrame(out, columns=["path", "content"])
 
     schema = T_.StructType([T_.StructField("path", T_.StringType()), T_.StructField("content", T_.BinaryType())])
@@ -246,6 +323,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         q_words, q_sentences, q_rhythm, q_lexical_hits, q_findings_by_rule, q_score, q_grade_by_lang, q_rank_worst, q_scan_summary,
         q_source_gate, q_paragraphs, q_strip_html, q_strip_markdown, q_transcript_tail, q_harvest, q_role_style, q_role_deltas, q_confusion,
         q_wilson, q_rule_diagnostics, q_score_distribution, q_filter_pairs, q_holdout_split, q_apply_fixes, q_diff_added, q_readable,
-        q_share_payload, q_report, q_corpus_audit, q_binary_sources,
+        q_share_payload, q_report, q_corpus_audit, q_binary_sources, q_paragraph_table, q_diff_scores, q_result_json, q_verdicts,
+        q_diagnostics, q_rules_fired, q_kept_pairs, q_outputs, q_paired, q_first_outputs,
     )
 } | {"q_sweep": partial(q_confusion, thresholds=SWEEP)} | {f"q_{c}": partial(_rule, column=c) for c in ("triads", "pivots", "hedges", "openers")}

@@ -47,10 +47,13 @@ def grade_of(score: Column) -> Column:
 
 
 def measure(df: DataFrame, text: str = "text", banned: tuple[str, ...] = L.BANNED, hollow: tuple[str, ...] = L.HOLLOW) -> DataFrame:
-    """Adds ``sentences`` (the list), counts by rule, ``n_words, n_sentences, n_lengths, sum_lengths, sum_squares, adverbs, dashes``.
+    """Adds ``sentences`` (the list), counts by rule, ``n_words, n_sentences, n_lengths, sum_lengths, sum_squares, adverbs, dashes``
+    and ``oversize``.
 
-    A null text is empty. The split and the word list are each evaluated once."""
-    norm = df.withColumn("_norm", T.normalize_quotes(T.as_text(F.col(text))))
+    A null text is empty. A text over the size limit is flagged and counted as empty. The split and the word list are each
+    evaluated once."""
+    fits = T.within_size(F.col(text))
+    norm = df.withColumns({"oversize": ~fits, "_norm": T.normalize_quotes(T.as_text(F.when(fits, F.col(text))))})
     staged = norm.withColumns({"_lower": F.lower("_norm"), "sentences": T.split_sentences(F.col("_norm")), "_words": T.words(F.col("_norm"))})
     ss = F.col("sentences")
     return (
@@ -83,12 +86,13 @@ def variation() -> Column:
 
 
 def graded(measured: DataFrame) -> DataFrame:
-    """Adds rates, points and ``score, grade`` to measured rows; ``total`` isn't clamped."""
+    """Adds rates, points and ``score, grade`` to measured rows; ``total`` isn't clamped. Flagged texts have no score and no grade."""
     words, sentences = F.col("n_words"), F.col("n_sentences")
     per100 = lambda c: F.when(words > 0, F.col(c) * 100.0 / words).otherwise(0.0)
     rows = measured.withColumns(
         {
             "cv": variation(),
+            "avg_length": F.when(F.col("n_lengths") > 0, F.col("sum_lengths").cast("double") / F.col("n_lengths")).otherwise(0.0),
             "adverb_rate": per100("adverbs"),
             "dash_rate": per100("dashes"),
             "triad_density": F.when(sentences > 0, F.col("triads").cast("double") / sentences).otherwise(0.0),
@@ -109,13 +113,13 @@ def graded(measured: DataFrame) -> DataFrame:
     parts = ("high", "med", "low", "rhythm_points", "adverb_points", "dash_points", "triad_points")
     total = sum((F.col(c) for c in parts[1:]), F.col(parts[0]))
     rows = rows.withColumn("total", total)
-    rows = rows.withColumn("score", F.least(F.lit(100).cast("long"), F.greatest(F.lit(0).cast("long"), F.col("total"))))
-    return rows.withColumn("grade", grade_of(F.col("score")))
+    rows = rows.withColumn("score", F.when(~F.col("oversize"), F.least(F.lit(100).cast("long"), F.greatest(F.lit(0).cast("long"), F.col("total")))))
+    return rows.withColumn("grade", F.when(~F.col("oversize"), grade_of(F.col("score"))))
 
 
 def analyze(df: DataFrame, text: str = "text", banned: tuple[str, ...] = L.BANNED, hollow: tuple[str, ...] = L.HOLLOW) -> DataFrame:
-    """``df`` with every metric, count, subtotal, ``score`` and ``grade``; texts over the size limit are left out (see :func:`rejected`)."""
-    return graded(measure(df.where(T.within_size(F.col(text))), text, banned, hollow))
+    """``df`` with every metric, count, subtotal, ``score`` and ``grade``. One row a row; ``oversize`` flags texts over the size limit."""
+    return graded(measure(df, text, banned, hollow))
 
 
 def rejected(df: DataFrame, text: str = "text") -> DataFrame:
@@ -123,43 +127,62 @@ def rejected(df: DataFrame, text: str = "text") -> DataFrame:
     return df.where(~T.within_size(F.col(text)))
 
 
-def _phrase_findings(norm: Column, phrase: str, rule: str) -> Column:
-    """``(rule, severity, snippet, start, stop)`` of every hit, in order; offsets count code points from 0."""
-    pattern = L.bounded((phrase,))
-    width = len(phrase)
+def result_json() -> Column:
+    """A scored row with findings as JSON: score, grade, breakdown, metrics as they are shown, findings."""
+    shown = lambda c, digits: T.rounded(F.col(c), digits)
+    lexical = F.struct("high", "med", "low", (F.col("high") + F.col("med") + F.col("low")).alias("total"))
+    points = {"uniformRhythm": "rhythm_points", "adverbs": "adverb_points", "emDashes": "dash_points", "triads": "triad_points"}
+    structural = F.struct(*[F.col(c).cast("long").alias(k) for k, c in points.items()], sum((F.col(c) for c in points.values()), F.lit(0)).cast("long").alias("total"))
+    metrics = F.struct(
+        F.col("n_words").alias("words"), F.col("n_sentences").alias("sentences"), shown("avg_length", 1).alias("avgSentenceLength"),
+        shown("cv", 2).alias("sentenceLengthCV"), F.col("uniform").alias("uniformRhythm"), shown("adverb_rate", 1).alias("adverbRate"),
+        shown("dash_rate", 1).alias("emDashRate"), shown("triad_density", 2).alias("triadDensity"),
+    )
+    found = F.transform("findings", lambda f: F.struct(f["rule"].alias("rule"), f["severity"].alias("severity"), f["snippet"].alias("snippet"), f["start"].alias("start"), f["stop"].alias("end")))
+    breakdown = F.struct(lexical.alias("lexical"), structural.alias("structural"), F.col("total").cast("long").alias("total"))
+    return F.to_json(F.struct("score", "grade", breakdown.alias("breakdown"), metrics.alias("metrics"), found.alias("findings")))
+
 
-    def positions(low: Column) -> Column:
-        parts = F.split(low, pattern)
+def _phrase_findings(norm: Column, low: Column, lists: dict[str, tuple[str, ...]]) -> Column:
+    """``(rule, severity, snippet, start, stop)`` of every hit, by list, phrase and place; offsets count code points from 0."""
+    table = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in (("p", p), ("at", L.bounded((p,))), ("rule", rule), ("severity", L.SEVERITY[rule]))]) for rule, own in lists.items() for p in own])
+
+    def hits(x: Column) -> Column:
+        width = F.char_length(x["p"])
+        parts = F.split(low, x["at"])
         ends = F.aggregate(
             F.slice(parts, F.lit(1), F.size(parts) - 1),
             F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
             lambda a, p: F.struct((a["at"] + F.char_length(p) + width).alias("at"), F.concat(a["out"], F.array(a["at"] + F.char_length(p))).alias("out")),
         )["out"]
-        return F.transform(ends, lambda at: _finding(rule, F.substr(norm, at + 1, F.lit(width)), at, at + width))
+        found = lambda at: F.struct(x["rule"].alias("rule"), x["severity"].alias("severity"), F.substr(norm, at + 1, width).alias("snippet"), at.alias("start"), (at + width).alias("stop"))
+        return F.transform(ends, found)
 
-    return F.when(F.lower(norm).contains(phrase), T.let(F.lower(norm), positions)).otherwise(F.array().cast(_FINDINGS))
+    return F.flatten(F.transform(F.filter(table, lambda x: low.contains(x["p"])), hits))
 
 
 _FINDINGS = "array<struct<rule:string,severity:string,snippet:string,start:int,stop:int>>"
 
 
-def _finding(rule: str, snippet: Column, start: Column | None = None, stop: Column | None = None) -> Column:
+def _finding(rule: str, snippet: Column) -> Column:
     none = F.lit(None).cast("int")
-    return F.struct(
-        F.lit(rule).alias("rule"), F.lit(L.SEVERITY[rule]).alias("severity"), snippet.alias("snippet"),
-        (none if start is None else start.cast("int")).alias("start"), (none if stop is None else stop.cast("int")).alias("stop"),
-    )
+    return F.struct(F.lit(rule).alias("rule"), F.lit(L.SEVERITY[rule]).alias("severity"), snippet.alias("snippet"), none.alias("start"), none.alias("stop"))
 
 
 def with_findings(df: DataFrame, text: str = "text", banned: tuple[str, ...] = L.BANNED, hollow: tuple[str, ...] = L.HOLLOW) -> DataFrame:
-    """Adds ``findings``, in order of rule, then list, then place; only phrases have offsets."""
-    staged = df.withColumn("_norm", T.normalize_quotes(T.as_text(F.col(text)))).withColumn("_sentences", T.split_sentences(F.col("_norm")))
-    ss, norm = F.col("_sentences"), F.col("_norm")
-    parts = [_phrase_findings(norm, p, rule) for rule, own in (("banned-phrase", banned), ("hollow-confidence", hollow)) for p in own]
-    parts += [
+    """Adds ``findings``, in order of rule, then list, then place; only phrases have offsets. A text over the size limit has none.
+
+    One look for any phrase spares most texts the look for each."""
+    fits = F.when(T.within_size(F.col(text)), F.col(text))
+    staged = df.withColumn("_norm", T.normalize_quotes(T.as_text(fits))).withColumns({"_sentences": T.split_sentences(F.col("_norm")), "_low": F.lower("_norm")})
+    staged = staged.withColumn("_any", F.col("_low").rlike(L.alternation((*banned, *hollow))))
+    ss, norm, low = F.col("_sentences"), F.col("_norm"), F.col("_low")
+    phrases = _phrase_findings(norm, low, {"banned-phrase": banned, "hollow-confidence": hollow})
+    parts = [
+        F.when(F.col("_any"), phrases.cast(_FINDINGS)).otherwise(F.array().cast(_FINDINGS)),
         F.transform(F.flatten(F.transform(ss, triads_in)), lambda s: _finding("triad", s)),
         F.transform(F.filter(ss, is_pivot), lambda s: _finding("negation-pivot", F.left(s, F.lit(80)))),
         F.transform(F.filter(ss, is_hedge_stack), lambda s: _finding("hedge-stack", F.left(s, F.lit(80)))),
         F.transform(F.filter(ss, is_cliche_opener), lambda s: _finding("cliche-opener", F.left(s, F.lit(50)))),
     ]
-    return staged.withColumn("findings", F.concat(*[p.cast(_FINDINGS) for p in parts])).drop("_norm", "_sentences")
+    return staged.withColumn("findings", F.concat(*[p.cast(_FINDINGS) for p in parts])).drop("_norm", "_sentences", "_low", "_any")

@@ -1,8 +1,10 @@
 """The prose engine: published fixtures, splitter corners, cleaners, rewriting, sources, and every query against DuckDB."""
 
 import io
+import json
 import math
 import random
+import re
 import zipfile
 import zlib
 
@@ -14,7 +16,7 @@ from plumbline.functions import lexicon as L
 from plumbline.functions import text as T
 from plumbline.operators import corpus, evaluate, rewrite
 from plumbline.plans import catalogue, oracle
-from plumbline.plans.score import analyze, rejected, with_findings
+from plumbline.plans.score import analyze, rejected, result_json, with_findings
 from plumbline.sources import files
 from plumbline.streaming import live
 
@@ -35,7 +37,7 @@ def column(spark, texts, f):
         ("...", 1), ("", 0), (None, 0), ("    ", 0), ("One two. Three", 2), ("e.g. this. And that", 2),
     ],
 )
-def test_sentences(spark, text, n):
+def test_sentences(spark, text, n):  # fixed values: texts and counts of the published cases
     assert len(column(spark, [text], T.split_sentences)[0]) == n
 
 
@@ -45,7 +47,7 @@ def test_words_and_quotes(spark):
 
 
 def test_published_scores(spark):
-    texts = {
+    texts = {  # fixed values
         "In today's world, finding the right productivity app can be a daunting task. Our cutting-edge platform leverages powerful AI to seamlessly streamline your workflow. It's not just an app, it's a game-changer.": (34, "C"),
         "It is important to note that consistency is key when building good habits. First and foremost, you should start small. Last but not least, be sure to celebrate your wins along the way.": (18, "B"),
         "": (0, "A"),
@@ -96,7 +98,9 @@ def test_findings_have_places(spark):
 
 def test_size_limit(spark):
     df = spark.createDataFrame([(1, "x" * (L.MAX_INPUT_BYTES + 1)), (2, None)], "i int, text string")
-    assert [r["i"] for r in analyze(df).collect()] == [2] and [r["i"] for r in rejected(df).collect()] == [1]
+    got = {r["i"]: r for r in analyze(with_findings(df)).collect()}
+    assert got[1]["oversize"] and got[1]["score"] is None and got[1]["grade"] is None and got[1]["findings"] == []
+    assert not got[2]["oversize"] and got[2]["score"] == 0 and [r["i"] for r in rejected(df).collect()] == [1]
 
 
 def test_cleaners(spark):
@@ -104,6 +108,8 @@ def test_cleaners(spark):
     assert column(spark, [md], T.strip_markdown) == ["keep this"]
     page = "<!-- x --><script>var a = '</p>';</script><p>A &amp;#8212; B&nbsp;C</p><br/>D &copy; &#9999999; &#x41;&#128512;"
     assert column(spark, [page, None], T.strip_html) == ["A — B C\n\nD &copy; A😀", ""]
+    refs = ["&#38;#65; and &#65;", "&#1000000000000000000065;&#x110000;&#xD800;|&#0000000000000000000065;&#X0041;", "&#x26;#x41;", "&#x26;#65;", "&#38;#x41;&#;"]
+    assert column(spark, refs, T.decode_numeric) == ["&#65; and A", "|AA", "&#x41;", "&#65;", "A&#;"]
     assert column(spark, ["&<>\""], T.escape_html) == ["&amp;&lt;&gt;&quot;"]
 
 
@@ -119,7 +125,118 @@ def test_fixes(spark):
     assert column(spark, list(cases), rewrite.apply_fixes) == list(cases.values())
 
 
+def test_fix_report(spark):
+    rows = [(1, "In conclusion, we leverage robust tools, seamless fits, and vital\u00a0parts. Perhaps it might."), (2, "plain words"), (3, None), (4, "End." + "\n" * 70 + "next one")]
+    df = rewrite.fix_report(analyze(spark.createDataFrame(rows, "i int, text string")))
+    got = {r["i"]: (r["fixed"], r["applied"], r["skipped"]) for r in df.collect()}
+    assert got[1][0].startswith("We use solid tools, smooth fits, and key\u00a0parts.")
+    assert got[1][1:] == (5, 2) and got[2] == ("Plain words", 0, 0) and got[3] == ("", 0, 0)
+    assert got[4][0] == "End." + "\n" * 70 + "Next one"
+
+
+def test_findings_keep_the_order_of_the_lists(spark):
+    df = with_findings(spark.createDataFrame([("A vibrant, seamless and robust rich tapestry in today's world.",)], "text string"))
+    assert [f["snippet"] for f in df.first()["findings"]][:6] == ["in today's world", "tapestry", "rich tapestry", "seamless", "robust", "vibrant"]
+
+
+def test_report_and_result(spark):
+    text = "It is robust, vibrant, and vital. " * 7
+    row = analyze(with_findings(spark.createDataFrame([(text,), ("",)], "text string")))
+    full, empty = [r["report"].split("\n") for r in corpus.format_report(row).collect()]
+    assert full[0] == "Score 100/100  ·  grade F" and full[2] == "words 42   sentences 7   avg len 6" and full[3] == "rhythm variance (CV) 0  ⚠ too uniform"
+    assert full[6] == "28 findings:" and full[7] == "  hollow-confidence (21): " + ", ".join(['"robust"'] * 6) + " …+15"
+    assert empty[-1] == "No lexical tells found." and empty[2] == "words 0   sentences 0   avg len 0"
+    got = json.loads(row.select(result_json().alias("j")).first()["j"])
+    assert got["metrics"]["avgSentenceLength"] == 6 and got["metrics"]["uniformRhythm"] and len(got["findings"]) == 28
+    assert got["findings"][0] == {"rule": "hollow-confidence", "severity": "med", "snippet": "robust", "start": 6, "end": 12}
+
+
+def test_paragraphs(spark):
+    text = "First one.\n \t\nSecond.\n\n---\n\n123\n\nThird\n\r\nstill third.\n\n\n\n Fourth "
+    got = corpus.paragraphs(spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string")).collect()
+    assert [(r["index"], r["paragraph"]) for r in got] == [(0, "First one."), (1, "Second."), (2, "Third\n\r\nstill third."), (3, "Fourth")]
+
+
+def test_number_text(spark):
+    df = spark.createDataFrame([(10.0,), (0.25,), (0.0,), (12.34,), (100.04,)], "x double")
+    assert [r[0] for r in df.select(T.number_text(F.col("x"), 1)).collect()] == ["10", "0.3", "0", "12.3", "100"]
+
+
+def test_voice_sample(spark):
+    long = " " * 12_000 + "word " * 3000
+    texts = [long, "x" * 119, "x" * 120 + " ", None]
+    assert [len(x or "") for x in column(spark, texts, corpus.voice_sample)] == [12_000, 0, 120, 0]
+    assert column(spark, texts, lambda c: corpus.voice_sample(c, is_raw=True))[0] == long.strip()[:4000]
+
+
+def test_verdicts_languages_and_page_words(spark):
+    df = spark.createDataFrame([("A", "en"), ("C", "fr"), ("F", None)], "g string, lang string")
+    got = [(r[0], r[1]) for r in df.select(corpus.verdict(F.col("g")), corpus.bucket(F.col("g"))).collect()]
+    assert got[0] == ("Reads human.", "good") and got[1][1] == "warn" and got[2] == ("Heavily robotic.", "bad")
+    assert corpus.in_languages(df, ("en",)).count() == 1 and corpus.in_languages(df, ()).count() == 0
+    assert column(spark, ["  a b\u00a0c\n", "", None], T.page_words) == [3, 0, 0]
+
+
+def test_diagnostics_mark_every_place(spark):
+    text = "Robust tools. A robust, ROBUST tool; in\n conclusion no. In conclusion, yes. " + "robust " * 60
+    got = corpus.diagnostics(with_findings(spark.createDataFrame([(1, text)], "doc_id int, text string"))).collect()
+    marked = {(r["rule"], r["start"]): text[r["start"] : r["stop"]] for r in got}
+    want = {("hollow-confidence", m.start()) for m in list(re.finditer("robust", text, re.I))[:50]} | {("banned-phrase", m.start()) for m in re.finditer(r"in\s+conclusion", text, re.I)}
+    assert want <= set(marked) and {k for k in marked if k[0] != "cliche-opener"} == want
+    assert marked["banned-phrase", text.index("in\n")] == "in\n conclusion"
+
+
+def test_harvest_cuts_before_it_collects(spark):
+    lines = [f"line number {i} with some words in it" for i in range(2000)] + ["Like this one a lot, please do", "short", "3\u00a0likes and more than twenty letters"]
+    df = spark.createDataFrame([(1, i, line) for i, line in enumerate(lines + lines)], "g int, at int, text string")
+    assert corpus.harvest(df, "g", "at").first()["harvested"] == "\n".join(lines[:2000])[:8000]
+    assert corpus.harvest(df.where("at >= 2000 and at < 2003"), "g", "at").count() == 0
+
+
+def test_holdout_equals_a_sort(spark):
+    import hashlib
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice("abc") if i % 50 else None, f"text {rng.randrange(400)}") for i in range(700)]
+    df = spark.createDataFrame(rows, "i int, source string, text string")
+    for share in (0.0, 0.15, 0.5, 1.0):
+        order = sorted(rows, key=lambda r: (r[1] or "", hashlib.sha1(r[2].encode()).hexdigest()))
+        k = max(1, round(len(rows) * share))
+        got = evaluate.holdout(df, "source", "text", share).collect()
+        assert len(got) == len(rows) and sum(r["held"] for r in got) == k
+        key = lambda r: (r[1] or "", hashlib.sha1(r[2].encode()).hexdigest())
+        assert sorted(key(r) for r in got if r["held"]) == [key(r) for r in order[:k]]
+
+
+def test_pairs_and_outputs(spark, tmp_path):
+    samples = spark.createDataFrame([(1, "s1"), (2, "s2")], "id int, sample string")
+    arms = spark.createDataFrame([(1, "o1"), (3, "o3")], "id int, text string")
+    assert {(r["id"], r["output"]) for r in evaluate.outputs_of(samples, arms).collect()} == {(1, "o1"), (2, "")}
+    assert [r["id"] for r in evaluate.paired(samples, arms).collect()] == [1]
+    assert [r["id"] for r in evaluate.first_outputs(samples, "id", 1).collect()] == [1]
+    scored = spark.createDataFrame([(1, 3, 1), (1, 3, 0), (2, 5, 0), (1, 9, 2)], "g int, score int, at int")
+    assert {(r["g"], r["score"], r["at"]) for r in evaluate.best_of(scored, "g", "at").collect()} == {(1, 3, 0), (2, 5, 0)}
+    evaluate.write_jsonl(evaluate.kept_pairs(scored, ["g"], 4), str(tmp_path / "kept"))
+    assert files.read_jsonl(spark, str(tmp_path / "kept"), "g int, score int").collect() == [(1, None), (1, None)]
+
+
+def test_json_and_voices(spark, tmp_path):
+    (tmp_path / "c.json").write_text('[{"id": "a", "label": "ai", "text": "x"},\n {"id": "b", "label": "human", "text": "y", "source": "s"}]')
+    assert [(r["id"], r["source"]) for r in files.read_corpus(spark, str(tmp_path / "c.json")).orderBy("id").collect()] == [("a", None), ("b", "s")]
+    for folder, name, register in (("seeds", "plain", "old"), ("seeds", "punchy", "old"), ("own", "plain", "new")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / f"{name}.md").write_text(f"---\nname: {name}\nregister: {register}\n---\nKeep CV ≥ 0.5 or so.\n")
+    got = files.read_voices(spark, str(tmp_path / "seeds"), str(tmp_path / "own"))
+    assert {(r["name"], r["register"]) for r in got.collect()} == {("plain", "new"), ("punchy", "old")}
+    assert [r[0] for r in got.select(files.cv_target(F.col("body"))).collect()] == [0.5, 0.5]
+    drafts = spark.createDataFrame([(0.496,), (0.494,)], "cv double")
+    assert [r[0] for r in drafts.select(files.meets_target(drafts, F.lit(0.5))).collect()] == [True, False]
+
+
 def test_diff(spark):
+    text = "\n".join(["+++ b/x.md", "+A line of prose that is long.", "+++ b/y.md", "+short"])
+    whole = spark.createDataFrame([(1, text), (2, None)], "diff_id int, text string")
+    assert [(r["file"], r["score"], r["grade"]) for r in corpus.scored_diff(corpus.diff_lines(whole)).collect()] == [("x.md", 0, "A")]
     lines = ["+++ b/a.md\tx", "+one", "-two", "++++", "+three", "+++ /dev/null", "+gone", "+++ b/x.py", "+code", "+++ b/sub/B.TXT", "+four"]
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "diff_id int, pos int, line string")
     assert {r["file"]: r["added"] for r in corpus.added_prose_by_file(df).collect()} == {"a.md": "one\nthree\n", "sub/B.TXT": "four\n"}
@@ -158,7 +275,55 @@ def test_binary_files(spark, tmp_path):
         (tmp_path / name).write_bytes(held.getvalue())
     (tmp_path / "e.epub").write_bytes(b"not a zip")
     got = {r["path"][-6:]: r["text"] for r in files.read_binary(spark.read.format("binaryFile").load(str(tmp_path))).collect()}
-    assert got == {"/a.pdf": "Hello there\nagain", "/b.pdf": "Hello there\nagain", "c.docx": "One\tx\nTwo & more", "d.epub": "Chapter\n\nNext", "e.epub": ""}
+    assert got == {"/a.pdf": "Hello there\nagain", "/b.pdf": "Hello there\nagain", "c.docx": "One x\nTwo & more", "d.epub": "Chapter\n\nNext", "e.epub": ""}
+
+
+def zipped(parts, method=zipfile.ZIP_DEFLATED):
+    with zipfile.ZipFile(held := io.BytesIO(), "w", method) as z:
+        for k, v in parts.items():
+            z.writestr(k, v)
+    return held.getvalue()
+
+
+def test_pdf_streams():
+    plain = b"<<>>\nstream\n(Hello)  Tj \nendstream"
+    image = b"<</Filter /DCTDecode>> stream\r\n\xff\xd8(no)Tj\nendstream"
+    far = b"/FlateDecode" + b" " * 450 + b"stream\n" + zlib.compress(b"(far) Tj")[:-2] + b"endstream"
+    deflate = zlib.compressobj(wbits=-15)
+    raw = b"<</Filter/FlateDecode>>stream\n" + deflate.compress(b"[(r)-200(aw)] TJ") + deflate.flush() + b"endstream"
+    assert files.extract_pdf(plain + image + far + raw) == "Hello\nfar\nr aw"
+    assert files.extract_pdf(b"") == files.extract_pdf(b"stream (cut") == files.extract_pdf(b"/FlateDecode stream\nbad endstream") == ""
+    assert files.text_from_content("[(a )()-300(b)]TJ") == "a b"
+
+
+def test_archives():
+    book = zipped({"a/nav.xhtml": "no", "toc.html": "no", "x/Title Page.htm": "no", "titlepage.xhtml": "no", "discovery.xhtml": "d", "navigation.xhtml": "n", "subtitle.xhtm": "s", "z.txt": "t"})
+    assert files.epub_parts(book) == ["d", "n", "s"]
+    locked = bytearray(zipped({"a.html": "one", "b.html": "two"}))
+    at = locked.index(b"PK\x01\x02")
+    locked[at + 8] |= 1
+    assert files.epub_parts(bytes(locked)) == ["", "two"]
+    broken = zipped({"a.html": "one " * 50, "b.html": "two"})
+    at = broken.index(b"a.html") + 6
+    assert files.epub_parts(broken[:at] + b"\xff" * 8 + broken[at + 8 :]) == ["", "two"]
+    assert files.epub_parts(broken[:40]) == files.epub_parts(b"") == [] and files.extract_docx(broken) == ""
+    body = "<w:p>One<w:tab/> x</w:p><w:p></w:p><w:p> </w:p><w:p>&#150;&#x110000;&amp;lt;<w:br/> end</w:p>"
+    assert files.extract_docx(zipped({"word/document.xml": body}, zipfile.ZIP_STORED)) == "One x\n\n\x96<\nend"
+    assert files.decode_xml("&#38;#65; &#;&#x; &#xD800;&#0065;") == "&#65; &#;&#x; A"
+
+
+def test_odd_binaries(spark):
+    rows = [("x.pdf", None), (None, b"x"), ("y.epub", zipped({"a.html": "<p>a</p>\n\n\n", "b.html": "<p> </p>", "c.html": "c"})), ("z.odt", b"z")]
+    got = {r["path"]: r["text"] for r in files.read_binary(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert got == {"x.pdf": "", None: "", "y.epub": "a\n\nc", "z.odt": ""}
+
+
+def test_single_files_and_pages(spark, tmp_path):
+    (tmp_path / "a.md").write_bytes(b"# Title\nprose \xff")
+    assert files.read_text(spark, str(tmp_path / "a.md")).first()["text"] == "# Title\nprose \ufffd"
+    assert files.read_text(spark, str(tmp_path / "a.md"), prose_only=True).first()["text"] == "prose \ufffd"
+    df = spark.createDataFrame([("<p>a</p>", None), ("x < y", "text/plain"), ("x &amp; y", "application/xhtml+xml")], "b string, k string")
+    assert [r[0] for r in df.select(files.page_text(F.col("b"), F.col("k"))).collect()] == ["a", "x < y", "x & y"]
 
 
 def test_folder_scan(spark, tmp_path):
@@ -166,6 +331,12 @@ def test_folder_scan(spark, tmp_path):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text(text)
     assert {r["file"] for r in files.scan_dir(spark, str(tmp_path)).collect()} == {"a.md", "sub/b.html"}
+    plain = tmp_path / "o'k" / "docs" / "docs"
+    plain.mkdir(parents=True)
+    (plain / "A.MD").write_text("A line of prose that is long enough.")
+    (plain / "docs").mkdir()
+    (plain / "docs" / "d.HtMl").write_text("<p>Another line of prose, long enough.</p>")
+    assert {r["file"] for r in files.scan_dir(spark, str(plain)).collect()} == {"A.MD", "docs/d.HtMl"}
 
 
 def test_stream_of_edits(spark, tmp_path):
