@@ -13,8 +13,8 @@ No bucket is expanded into pairs. Texts with the same words are one text from th
 
 1. each text is verified against the least text that leads one of its buckets, one pair a text, and links are closed to
    classes; then against the leaders that are still of other classes, one pair for each such class;
-2. in buckets that still hold several classes, texts of different classes are compared by their counts of hashed words.
-   A pair whose counts alone cost more edits than a link allows is none. Of the others, first a forest that spans each
+2. in buckets that still hold several classes, texts of different classes are compared by their counts of hashed words; the
+   largest class of a bucket meets the others once for all buckets it shares with them. A pair whose counts alone cost more edits than a link allows is none. Of the others, first a forest that spans each
    block's classes is verified and classes are closed again; in buckets where a pair of the forest was no link, all pairs
    that are still of different classes are verified.
 
@@ -347,11 +347,31 @@ def with_rare_words(docs: DataFrame, rarity: np.ndarray, similarity: float = SIM
 
 
 def _sizes(members: DataFrame, bucket_texts: int) -> DataFrame:
-    """``h, largest, p, q`` of the buckets with several classes: the largest class, its number of blocks and that of the others."""
-    by_class = members.groupBy("h", "root").agg(F.count("*").alias("n"))
-    sizes = by_class.groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.max("n").alias("n_largest"), F.sum("n").alias("n"))
+    """``h, largest, p, q`` of the buckets with several sides: the largest side, its number of blocks and that of the others.
+
+    Of buckets that hold the same texts, by 128 bits of their ids' hashes, one is left: the others hold no other pair."""
+    mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "id"))
+    by_side = members.groupBy("h", "side").agg(F.count("*").alias("n"), mark(1).alias("s1"), mark(2).alias("s2"))
+    sizes = by_side.groupBy("h").agg(
+        F.max_by("side", F.struct("n", "side")).alias("largest"), F.max("n").alias("n_largest"), F.sum("n").alias("n"), F.bit_xor("s1").alias("s1"), F.bit_xor("s2").alias("s2")
+    )
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / bucket_texts)).cast("int")
-    return sizes.where("n > n_largest").select("h", "largest", blocks(F.col("n_largest")).alias("p"), blocks(F.col("n") - F.col("n_largest")).alias("q"))
+    sizes = sizes.where("n > n_largest").dropDuplicates(["n", "s1", "s2"])
+    return sizes.select("h", "largest", blocks(F.col("n_largest")).alias("p"), blocks(F.col("n") - F.col("n_largest")).alias("q"))
+
+
+def _sided(classed: DataFrame) -> DataFrame:
+    """``h, id, root, side`` of the texts in buckets ``h, id, root`` of several classes; texts of one side need no comparison.
+
+    A bucket's largest class leaves it: its texts and all texts that meet them anywhere make one bucket of two sides for the
+    class. So a large class, which shares many buckets with the same texts, meets them once. The other texts stay where
+    they are, each class a side."""
+    largest = classed.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("classes"))
+    rows = classed.join(largest.where("classes > 1").select("h", "largest"), "h")
+    of_class = F.xxhash64(F.lit("class"), "largest").alias("h")
+    own = rows.where("root = largest").select(of_class, "id", "root", F.col("root").alias("side")).distinct()
+    met = rows.where("root != largest").select(of_class, "id", "root", F.lit(-1).cast("long").alias("side")).distinct()
+    return own.union(met).union(rows.where("root != largest").select("h", "id", "root", F.col("root").alias("side")))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -378,13 +398,15 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 
 def close_pairs(members: DataFrame, sizes: DataFrame, known: DataFrame, bucket_texts: int = BUCKET_TEXTS, similarity: float = SIMILARITY, forest: bool = False) -> DataFrame:
-    """``h, a, b``: pairs of different classes in a bucket that agree in a sketch and may be close enough by their lengths
-    and word counts. With ``forest``, only as many of a block as join its classes, the closest first.
-
-    ``members`` has ``h, id, root``, ``sizes`` is from :func:`_sizes`, ``known`` from :func:`profiles`. A bucket's largest
-    class and its other texts are dealt into blocks of ``bucket_texts``; a block of others meets each block. So a task holds
-    two blocks, however large the bucket is, and the largest class never meets itself."""
-    rows = members.join(sizes, "h").withColumn("other", F.col("root") != F.col("largest"))
+    """``h, a, b``: pairs of different sides and classes in a bucket that agree in a sketch and may be close enough by their
+    lengths and word counts. With ``forest``, only as many of a block as join its classes, the closest first.
+
+    ``members`` has ``h, id, root, side``, ``sizes`` is from :func:`_sizes`, ``known`` from :func:`profiles`. A bucket's largest
+    side and its other texts are dealt into blocks of ``bucket_texts``; a block of others meets each block. So a task holds
+    two blocks, however large the bucket is, and the largest side never meets itself. Where each is one block, they meet as
+    they are, and no row is copied."""
+    rows = members.join(sizes, "h").withColumn("other", F.col("side") != F.col("largest"))
+    whole = rows.where("p = 1 and q = 1").select("h", F.lit(0).alias("x"), F.lit(0).alias("y"), "id", "root", "side")
     place = F.pmod(F.xxhash64("id"), F.when(F.col("other"), F.col("q")).otherwise(F.col("p"))).cast("int")
     pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     others = F.sequence(F.lit(0), F.col("q") - 1)
@@ -395,17 +417,18 @@ def close_pairs(members: DataFrame, sizes: DataFrame, known: DataFrame, bucket_t
             F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda j: pair(F.col("place"), -1 - j)),
         ),
     ).otherwise(F.transform(others, lambda i: pair(i, -1 - F.col("place"))))
-    dealt = rows.withColumn("place", place).withColumn("meet", F.explode(meets))
+    dealt = rows.where("p > 1 or q > 1").withColumn("place", place).withColumn("meet", F.explode(meets))
+    dealt = whole.union(dealt.select("h", F.col("meet.x").alias("x"), F.col("meet.y").alias("y"), "id", "root", "side"))
     need = 1 - similarity
 
     def compared(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids, root, size = (group.column(c).to_numpy() for c in ("id", "root", "n_words"))
+        ids, root, side, size = (group.column(c).to_numpy() for c in ("id", "root", "side", "n_words"))
         marks = np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint16).reshape(-1, SKETCHES)
         counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint8).reshape(-1, COUNTERS)
         first, second, weight = [], [], []
         for i in range(len(ids) - 1):
             most = (np.maximum(size[i + 1 :], size[i]) * need + 1e-9).astype(np.int64)
-            rest = np.flatnonzero((root[i + 1 :] != root[i]) & (np.abs(size[i + 1 :] - size[i]) <= most))
+            rest = np.flatnonzero((side[i + 1 :] != side[i]) & (root[i + 1 :] != root[i]) & (np.abs(size[i + 1 :] - size[i]) <= most))
             if len(rest):
                 most, rest = most[rest], rest + i + 1
                 edits = least_edits(counts[i], counts[rest])
@@ -427,8 +450,7 @@ def close_pairs(members: DataFrame, sizes: DataFrame, known: DataFrame, bucket_t
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), group.column("h")[0].as_py())), pa.array(a), pa.array(b)], ["h", "a", "b"])
 
-    wanted = dealt.select("h", F.col("meet.x").alias("x"), F.col("meet.y").alias("y"), "id", "root").join(known, "id")
-    ordered = wanted.select("h", "x", "y", "id", "root", "n_words", "marks", "counts").repartition("h", "x", "y").sortWithinPartitions("h", "x", "y", "id")
+    ordered = dealt.join(known, "id").select("h", "x", "y", "id", "root", "side", "n_words", "marks", "counts").repartition("h", "x", "y").sortWithinPartitions("h", "x", "y", "id")
     return ordered.mapInArrow(compare, "h long, a long, b long")
 
 
@@ -479,22 +501,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     apart = in_classes(led.distinct(), "leader", "led").groupBy("id", "led").agg(F.min("leader").alias("a"))
     settle(in_classes(apart, "id", "root").where("root != led").select("a", F.col("id").alias("b")))
 
-    classed = in_classes(members.select("h", "id"), "id", "root")
-    sizes = scratch.stored(_sizes(classed, bucket_texts), "sizes")
-    still = scratch.stored(classed.join(sizes.select("h", "q"), "h"), "open")
+    cut = scratch.stored(_sided(in_classes(members.select("h", "id"), "id", "root")), "open")
+    sizes = scratch.stored(_sizes(cut, bucket_texts), "sizes")
     at = lambda df: keyed.join(df.select("id").distinct(), "id")
-    known = scratch.stored(profiles(at(still)), "profiles")
-    cut = still.select("h", "id", "root")
-    if still.where("q > 1").limit(1).count():
-        crowded = scratch.stored(at(still.where("q > 1")), "crowded")
+    known = scratch.stored(profiles(at(cut)), "profiles")
+    if sizes.where("q > 1").limit(1).count():
+        full = cut.join(sizes.where("q > 1").select("h"), "h")
+        crowded = scratch.stored(at(full), "crowded")
         rare = with_rare_words(crowded, word_rarity(crowded), similarity)
-        dealt = still.where("q > 1").join(rare, "id").select(F.xxhash64("h", "word").alias("h"), "id", "root")
-        cut = scratch.stored(still.where("q = 1").select("h", "id", "root").union(dealt), "cut")
+        dealt = full.join(rare, "id").select(F.xxhash64("h", "word").alias("h"), "id", "root", "side")
+        cut = scratch.stored(cut.join(sizes.where("q = 1").select("h"), "h").select("h", "id", "root", "side").union(dealt), "cut")
         sizes = scratch.stored(_sizes(cut, bucket_texts), "sizes")
     forest = scratch.stored(close_pairs(cut, sizes, known, bucket_texts, similarity, True), "forest")
     settle(forest.select("a", "b").distinct())
     unsettled = forest.join(reduce(DataFrame.union, failed).distinct(), ["a", "b"], "left_semi").select("h").distinct()
-    rest = scratch.stored(in_classes(cut.select("h", "id").join(unsettled, "h", "left_semi"), "id", "root"), "rest")
+    rest = in_classes(cut.select("h", "id", "side").join(unsettled, "h", "left_semi"), "id", "root")
+    rest = scratch.stored(rest.withColumn("side", F.when(F.col("side") < 0, F.col("side")).otherwise(F.col("root"))), "rest")
     settle(close_pairs(rest, _sizes(rest, bucket_texts), known, bucket_texts, similarity).select("a", "b").distinct())
 
     found = rows.select("doc_id", "r1", "r2", "row", "k").join(nodes.select("k", "id"), "k")
