@@ -38,11 +38,11 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def stored(self, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
-        """``df`` written and read back."""
+    def stored(self, df: DataFrame, name: str, codec: str | None = None, by: str | None = None) -> DataFrame:
+        """``df`` written and read back; ``by`` names a column whose values get folders of their own."""
         path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
         writer = df.write.option("compression", codec) if codec else df.write
-        writer.parquet(path)
+        (writer.partitionBy(by) if by else writer).parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         self.paths[path] = back
         return back

@@ -1,13 +1,15 @@
 """Quality classifier: learned vectors of hashed words, word pairs and character n-grams, averaged per document; softmax output.
 
-Training is numpy stochastic gradient descent on the driver over a bounded sample of labelled rows. The output layer is
-linear in the document's average, so for scoring each feature's vector shrinks to one number, its share of the log odds:
-the model that executors get is ``buckets`` floats, and a word's numbers are computed once and remembered.
+Training is numpy stochastic gradient descent over a bounded sample of labelled rows. Executors hash their features and
+write them as a table in blocks; the driver reads one block after another, so it holds the vectors and one block, and
+never a text. The output layer is linear in the document's average, so for scoring each feature's vector shrinks to one
+number, its share of the log odds: the model that executors get is ``buckets`` floats, and a word's numbers are computed
+once and remembered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,12 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm._common import slices, text_of, texts
+from plumbline.llm._common import Scratch, slices, text_of, texts
 
 #: Words a worker remembers.
 MEMO_WORDS = 300_000
-#: Texts whose features share an array in training; large arrays go back to the system when training ends.
-BLOCK_TEXTS = 256
+#: Texts whose features the driver holds at a time in training.
+BLOCK_TEXTS = 512
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -135,45 +137,66 @@ def _scorer(model: Model) -> _Words:
     return _last[1]
 
 
-def train(texts: list[bytes], labels: list[int], settings: Settings = Settings()) -> Model:
-    """Stochastic gradient descent, one document at a time, the rate falling to 0. Without texts, every score is one half."""
+Row = tuple[np.ndarray, np.ndarray, int]
+
+
+def descend(read: Callable[[int], list[Row]], blocks: int, rows: int, settings: Settings = Settings()) -> Model:
+    """Stochastic gradient descent, one document at a time, the rate falling to 0. Without rows, every score is one half.
+
+    ``read`` gives a block's documents as features, shares and label; each epoch takes blocks, and rows in them, in another order."""
     random = np.random.default_rng(settings.seed)
-    words = _Words(settings)
-    rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for start in range(0, len(texts), BLOCK_TEXTS):
-        block = [features(words, t) for t in texts[start : start + BLOCK_TEXTS]]
-        ends = np.cumsum([len(found) for found, _ in block])[:-1]
-        found, share = np.concatenate([x for x, _ in block]).astype(np.int32), np.concatenate([x for _, x in block])
-        rows += zip(np.split(found, ends), np.split(share, ends), strict=True)
     vectors = ((random.random((settings.buckets, settings.width), np.float32) - 0.5) / settings.width).astype(np.float32)
     output = np.zeros((settings.width, 2), np.float32)
-    steps, done = max(1, settings.epochs * len(rows)), 0
+    steps, done = max(1, settings.epochs * rows), 0
     for _ in range(settings.epochs):
-        for i in random.permutation(len(rows)):
-            found, share = rows[i]
-            rate = settings.rate * (1 - done / steps)
-            hidden = share @ vectors[found]
-            odds = hidden @ output
-            p = np.exp(odds - odds.max())
-            p /= p.sum()
-            p[labels[i]] -= 1
-            back = output @ p
-            output -= rate * np.outer(hidden, p)
-            vectors[found] -= (rate * len(found) ** 0.5) * np.outer(share, back)
-            done += 1
+        for block in random.permutation(blocks):
+            own = read(int(block))
+            for i in random.permutation(len(own)):
+                found, share, label = own[i]
+                rate = settings.rate * (1 - done / steps)
+                hidden = share @ vectors[found]
+                odds = hidden @ output
+                p = np.exp(odds - odds.max())
+                p /= p.sum()
+                p[label] -= 1
+                back = output @ p
+                output -= rate * np.outer(hidden, p)
+                vectors[found] -= (rate * len(found) ** 0.5) * np.outer(share, back)
+                done += 1
     return Model(settings, (vectors @ (output[:, 1] - output[:, 0])).astype(np.float32))
 
 
+def train(texts: list[bytes], labels: list[int], settings: Settings = Settings()) -> Model:
+    """:func:`descend` over texts in memory."""
+    words = _Words(settings)
+    rows = [(*features(words, t), y) for t, y in zip(texts, labels, strict=True)]
+    return descend(lambda i: rows[i * BLOCK_TEXTS : (i + 1) * BLOCK_TEXTS], -(-len(rows) // BLOCK_TEXTS), len(rows), settings)
+
+
 def held_out(doc_id: Column) -> Column:
-    """Whether a document is kept from training: crc32 of its id as text, modulo 5, is 0."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """Whether a document is kept from training: crc32 of its id as text, modulo 5, is 0. A null id isn't, but has no label."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def featured(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``k, y, found, share`` from ``k, y, t``: a text's distinct buckets as 32-bit integers and their shares as 32-bit floats."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words(settings)
+        for batch in slices(batches, 256):
+            each = [features(words, t) for t in texts(batch, "t")]
+            found, share = [f.astype(np.int32).tobytes() for f, _ in each], [s.tobytes() for _, s in each]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary()), pa.array(share, pa.binary())], ["k", "y", "found", "share"])
+
+    return rows.select("k", "y", "t").mapInArrow(hashed, "k long, y int, found binary, share binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", settings: Settings = Settings()) -> Model:
-    """Learn from labelled documents that aren't held out, at most about ``settings.sample_rows`` of them.
+    """Learn from labelled documents that aren't held out, at most ``settings.sample_rows`` of them, by their whole texts.
 
-    Rows with a null id, text or label teach nothing; of differing labels of an id the least counts. Which rows are
-    taken depends on their ids alone. The chosen ids are at most ``sample_rows``, so they are broadcast to the scan."""
+    Rows with a null id, text or label teach nothing; of differing labels of an id the least counts, and of rows that share
+    an id one teaches, the same each time. Which ids are taken depends on the ids alone; they are at most ``sample_rows``,
+    so they are broadcast to the scan. Without rows to learn from, every score is one half."""
     known = (
         labels.select(F.col(doc_id).cast("long").alias("k"), F.col(label).cast("int").alias("y"))
         .where(F.col("k").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("k")))
@@ -182,8 +205,19 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     )
     chosen = known.orderBy(F.xxhash64(F.lit(settings.seed), "k"), "k").limit(settings.sample_rows)
     rows = docs.select(F.col(doc_id).cast("long").alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(chosen), "k")
-    found = sorted((r["k"], r["y"], r["t"].encode()) for r in rows.collect())
-    return train([t for _, _, t in found], [y for _, y, _ in found], settings)
+    blocks = max(1, -(-settings.sample_rows // BLOCK_TEXTS))
+    one = featured(rows, settings).groupBy("k").agg(F.min(F.struct("y", "found", "share")).alias("x")).select("k", "x.*")
+    scratch = Scratch(docs.sparkSession)
+    table = one.withColumn("block", F.pmod(F.xxhash64(F.lit(settings.seed + 1), "k"), F.lit(blocks)).cast("int"))
+    table = scratch.stored(table.repartition(blocks, "block"), "features", by="block")
+
+    def read(block: int) -> list[Row]:
+        own = sorted(table.where(F.col("block") == block).select("k", "y", "found", "share").collect())
+        return [(np.frombuffer(r["found"], np.int32), np.frombuffer(r["share"], np.float32), r["y"]) for r in own]
+
+    model = descend(read, blocks, table.count(), settings)
+    scratch.dropped()
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
