@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from plumbline.llm._common import stored
+from plumbline.llm._common import Scratch
 
 BITS, SEGMENTS = 64, 4
-#: Distinct codes of an index part, and distinct queries of a block.
-PART_CODES, BLOCK_QUERIES = 1 << 16, 1 << 12
+#: Distinct codes of an index part, the most distinct queries of a block, and the fewest that are worth a task of their own.
+PART_CODES, BLOCK_QUERIES, FEW_QUERIES = 1 << 19, 1 << 18, 256
+#: Queries whose results a task holds before it hands them on.
+BATCH_QUERIES = 4096
 
 
 def code_of(embedding: Column) -> Column:
@@ -106,13 +108,17 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int = SE
 
     ``rows`` and ``queries`` have ``id, code``; null ids or codes are left out of both. Rows with equal codes share one entry
     that holds its k + 1 least ids, which is all that a top k can show of them, so a vector that a third of all rows share
-    is one entry; they are cut in each task before the exchange. Queries with equal codes are searched once. Parts of the
-    index and blocks of queries, both bounded, meet as one row each; each pair gives k rows a query. A repeated id counts once."""
-    entries = _entries(rows, k + 1)
-    entries = stored(entries, "codes")
-    asked = stored(queries.where("id is not null and code is not null").select("id", "code").distinct(), "queries")
+    is one entry; they are cut in each task before the exchange. Queries with equal codes are searched once. The query set
+    meets all rows in blocks: parts of the index and blocks of queries, both bounded, meet as one row each, and a part's
+    index is built once for the whole block. Blocks are large, so that a part is copied for few of them, but a small query
+    set is dealt to as many tasks as there are cores. Each pair gives k rows a query. A repeated id counts once; an empty
+    table gives no rows. Other columns aren't read, whatever their names."""
+    scratch = Scratch(rows.sparkSession)
+    entries = scratch.stored(_entries(rows, k + 1), "codes")
+    asked = scratch.stored(queries.where("id is not null and code is not null").select("id", "code").distinct(), "queries")
     n, m = entries.count(), asked.select("code").distinct().count()
-    parts, blocks = max(1, -(-n // part_codes)), max(1, -(-m // block_queries))
+    parts, cores = max(1, -(-n // part_codes)), rows.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-m // block_queries), min(-(-m // FEW_QUERIES), -(-cores // parts)))
 
     packed = (
         entries.withColumn("part", F.pmod(F.xxhash64("code"), F.lit(parts)).cast("int"))
@@ -134,12 +140,13 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int = SE
                 ids = [e["ids"] for e in own]
                 size = np.array([len(x) for x in ids], np.int64)
                 index = MultiIndex(codes, segments)
-                out: list[tuple[int, int, int]] = []
-                for query in asked_codes:
-                    places, distances = index.search(np.int64(query).astype(np.uint64), k + 1, size)
-                    found = sorted((int(d), int(i)) for p, d in zip(places, distances, strict=True) for i in ids[p])[: k + 1]
-                    out += [(int(query), i, d) for d, i in found]
-                yield pd.DataFrame(out, columns=["code", "neighbour_id", "distance"])
+                for start in range(0, len(asked_codes), BATCH_QUERIES):
+                    out: list[tuple[int, int, int]] = []
+                    for query in asked_codes[start : start + BATCH_QUERIES]:
+                        places, distances = index.search(np.int64(query).astype(np.uint64), k + 1, size)
+                        found = sorted((int(d), int(i)) for p, d in zip(places, distances, strict=True) for i in ids[p])[: k + 1]
+                        out += [(int(query), i, d) for d, i in found]
+                    yield pd.DataFrame(out, columns=["code", "neighbour_id", "distance"])
 
     pairs = packed.join(blocked, "block").select("entries", "codes")
     found = pairs.repartition(parts * blocks).mapInPandas(search, "code long, neighbour_id long, distance int")

@@ -5,9 +5,12 @@ lane, modulo a power of two. So equality doesn't depend on the pieces' order, an
 vector addition. There are two kinds of lanes:
 
 * ``wide``: 16 lanes modulo 2**32 of uniform hash words. 512 bits decide equality.
-* ``signs``: 126 lanes modulo 2**21, three to a long, that count one bit of two more hashes. Doubled, less the number of
-  pieces, they are sums of random signs, so the squared length of the difference of two documents' lanes estimates how
-  many pieces they don't share. That grades likeness from 0 to 1.
+* ``signs``: 128 lanes modulo 2**32, two to a long, that count one bit of two more hashes. A text has fewer than 2**31
+  characters, so no lane runs over. Doubled, less the number of pieces, they are sums of random signs, so the squared
+  length of the difference of two documents' lanes estimates how many pieces they don't share. That grades likeness from
+  0 to 1.
+
+A fingerprint as text holds the number of pieces and both kinds of lanes, so likeness can be had from fingerprints alone.
 
 A paragraph is a line; a line of several sentences is cut after ``.``, ``!`` or ``?`` and a space.
 """
@@ -22,7 +25,7 @@ from plumbline.llm._common import stored, text_of
 
 PIECE_ENDS = "\n|(?<=[.!?]) "
 WIDE_SEEDS, SIGN_SEEDS = tuple(range(101, 109)), (211, 223)
-LANE_BITS, LANES_IN_LONG = 21, 3
+LANE_BITS, LANES_IN_LONG = 32, 2
 _LOW = 0xFFFFFFFF
 _ONES = sum(1 << (LANE_BITS * k) for k in range(LANES_IN_LONG))
 _LANE = (1 << LANE_BITS) - 1
@@ -65,9 +68,25 @@ def combined(wide: Column, other: Column, remove: bool = False) -> Column:
     return F.zip_with(wide, other, lambda a, b: F.pmod(a - b if remove else a + b, F.lit(1 << 32)))
 
 
-def as_text(wide: Column) -> Column:
-    """The ``wide`` lanes as 128 hexadecimal digits."""
-    return F.lower(F.array_join(F.transform(wide, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
+def as_text(wide: Column, pieces: Column | None = None, signs: Column | None = None) -> Column:
+    """A fingerprint as hexadecimal digits: 8 for each of the ``wide`` lanes; then, if given, 16 for the number of pieces and
+    for each long of ``signs``."""
+    digits = [F.array_join(F.transform(wide, lambda x: F.lpad(F.hex(x), 8, "0")), "")]
+    if signs is not None:
+        digits += [F.lpad(F.hex(pieces), 16, "0"), F.array_join(F.transform(signs, lambda x: F.lpad(F.hex(x), 16, "0")), "")]
+    return F.lower(F.concat(*digits))
+
+
+def read_text(digits: Column) -> Column:
+    """``(wide, pieces, signs)`` of a fingerprint as text."""
+    number = lambda at, n: F.conv(F.substr(digits, at, F.lit(n)), 16, -10).cast("long")
+    lanes = 2 * len(WIDE_SEEDS)
+    first = 8 * lanes + 17
+    return F.struct(
+        F.transform(F.sequence(F.lit(0), F.lit(lanes - 1)), lambda i: number(i * 8 + 1, 8)).alias("wide"),
+        number(F.lit(8 * lanes + 1), 16).alias("pieces"),
+        F.transform(F.sequence(F.lit(0), F.lit(len(SIGN_SEEDS) * LANE_BITS - 1)), lambda i: number(i * 16 + first, 16)).alias("signs"),
+    )
 
 
 def likeness(a: Column, n: Column, b: Column, m: Column) -> Column:
@@ -124,7 +143,8 @@ def against_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     A null text is empty. Rows with a null id have no next document, so their edited columns are null. Where rows share an
     id, each has its own row here, and the least of their texts is what the predecessor takes. One row per row of ``docs``:
-    ``doc_id, n_chars, edited, wide, edited_wide, near_edited, near_next``."""
+    ``doc_id, n_chars, edited, pieces, wide, signs, edited_pieces, edited_wide, edited_signs, near_edited, near_next``. An empty
+    table gives no rows. Other columns of ``docs`` aren't read, whatever their names."""
     # Another name than the table's: both uses of the rows then plan alike, and their exchange runs once.
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("t"))
     sizes = rows.where("id is not null").groupBy(F.col("id").alias("doc_id")).agg(F.max(F.char_length("t")).cast("long").alias("n_chars"), F.count("*").alias("rows"))
@@ -145,9 +165,11 @@ def against_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     edited = joined.withColumn("edited", F.expr("concat(substring(t, 1, int(n_chars - n_chars div 2)), substring(given, 1, int(n_chars div 2)))"))
     done = with_fingerprint(edited, F.col("edited"), "edited_")
     near = lambda other: likeness(F.col("signs"), F.col("pieces"), F.col(f"{other}_signs"), F.col(f"{other}_pieces")).alias(f"near_{other}")
-    found = done.select(F.col("id").alias("doc_id"), "n_chars", "edited", "wide", "edited_wide", near("edited"), near("next"))
+    prints = [f"{of}{part}" for of in ("", "edited_") for part in ("pieces", "wide", "signs")]
+    found = done.select(F.col("id").alias("doc_id"), "n_chars", "edited", *prints, near("edited"), near("next"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     without_id = with_fingerprint(rows.where("id is null"), F.col("t")).select(
-        F.col("id").alias("doc_id"), F.char_length("t").cast("long").alias("n_chars"), F.lit(None).cast("string").alias("edited"), "wide",
-        F.lit(None).cast("array<bigint>").alias("edited_wide"), F.lit(None).cast("double").alias("near_edited"), F.lit(None).cast("double").alias("near_next"),
+        F.col("id").alias("doc_id"), F.char_length("t").cast("long").alias("n_chars"), none("string", "edited"), "pieces", "wide", "signs",
+        none("long", "edited_pieces"), none("array<bigint>", "edited_wide"), none("array<bigint>", "edited_signs"), none("double", "near_edited"), none("double", "near_next"),
     )
     return found.union(without_id)

@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, in DataFrame functions only, row by row without a shuffle.
 
-The words of a text are taken once. Where a signature's keyword stands, a window of the next words is cut, and the
-signatures of that keyword are tried at its start. A detection inside a longer or equal one of at least its rank is
+The words of a text are taken once. Where a signature's keyword stands before a word that can follow one, a window of the
+next words is cut, and the signatures of that keyword whose literal beginning is there are tried at its start. A detection inside a longer or equal one of at least its rank is
 suppressed. Windows are short, so a detection's possible holders stand within a bounded stretch of the sorted list.
 """
 
@@ -36,11 +36,16 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
 
     ``n_words``; ``base``, the places of the base phrases as ``(start, label)``; ``found``, the detections that stand as
     ``(start, stop, label, rank, weight)`` in words from 0, by start; ``suppressed``, how many gave way. A null text is empty;
-    an empty one has no words and no detections. Base places are never suppressed."""
+    an empty one has no words and no detections. Base places are never suppressed. An empty table gives no rows. Kept columns
+    named as one of these four are replaced, and names that begin with an underscore are reserved."""
+    keep = tuple(c for c in keep if c not in ("n_words", "base", "found", "suppressed"))
     rules, base = rules or signatures(), base or BASE
     keywords = sorted({r.keyword for r in rules} | {p.split(" ")[0] for p in base})
+    alone = sorted({r.keyword for r in rules if r.second is None} | {p for p in base if " " not in p})
+    seconds = sorted({r.second for r in rules if r.second} | {p.split(" ")[1] for p in base if " " in p})
     rows = docs.select(*keep, words_of(text_of(text)).alias("_words"))
-    places = F.filter(F.transform(F.col("_words"), lambda w, i: F.when(w.isin(keywords), i)), lambda i: i.isNotNull())
+    begins = lambda w, i: w.isin(keywords) & (w.isin(alone) | F.coalesce(F.get("_words", i + 1).isin(seconds), F.lit(False)))
+    places = F.filter(F.transform(F.col("_words"), lambda w, i: F.when(begins(w, i), i)), lambda i: i.isNotNull())
     gated = F.arrays_overlap(F.col("_words"), F.array(*map(F.lit, keywords)))
     rows = rows.withColumn("_places", F.when(gated, places).otherwise(F.array().cast("array<int>")))
     window = lambda i: F.struct(i.alias("i"), F.get("_words", i).alias("w"), F.array_join(F.slice("_words", i + 1, SPAN), " ").alias("s"))
@@ -49,7 +54,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
 
     def hits(x: Column) -> Column:
         """Detections that begin with a window; of those, only the ones that no other from the same start suppresses."""
-        tried = F.filter(groups[x["w"]], lambda r: F.rlike(x["s"], r["pattern"]))
+        tried = F.filter(groups[x["w"]], lambda r: F.startswith(x["s"], r["head"]) & F.rlike(x["s"], r["pattern"]))
         found = F.transform(
             tried,
             lambda r: F.struct(
@@ -58,7 +63,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
                 r["label"].alias("label"), r["rank"].alias("rank"), r["weight"].alias("weight"),
             ),
         )
-        return _let(found, lambda own: F.struct(F.filter(own, lambda d: ~F.exists(own, lambda e: _over(e, d))).alias("stand"), F.size(own).alias("n")))
+        return _let(F.array_distinct(found), lambda own: F.struct(F.filter(own, lambda d: ~F.exists(own, lambda e: _over(e, d))).alias("stand"), F.size(own).alias("n")))
 
     rows = rows.select(*keep, F.size("_words").alias("_n"), "_windows", F.transform("_windows", hits).alias("_hits"))
     # Those that stand at one start differ in length, so at most SPAN of them: holders are within SPAN * SPAN places.
@@ -81,10 +86,12 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _over(e: Column, d: Column) -> Column:
-    """Whether detection e suppresses d: it holds d, and is longer with at least its rank, or as long with a higher one."""
+    """Whether detection e suppresses d: it holds d, and is longer with at least its rank, or as long with a higher one, or as
+    long, of the same rank and of a lesser label."""
     longer = (e["stop"] - e["start"]) > (d["stop"] - d["start"])
     holds = (e["start"] <= d["start"]) & (e["stop"] >= d["stop"])
-    return holds & ((longer & (e["rank"] >= d["rank"])) | (~longer & (e["rank"] > d["rank"])))
+    above = (e["rank"] > d["rank"]) | ((e["rank"] == d["rank"]) & (e["label"] < d["label"]))
+    return holds & ((longer & (e["rank"] >= d["rank"])) | (~longer & above))
 
 
 def _places(phrase: str, label: str) -> Column:
@@ -97,8 +104,8 @@ def _by_keyword(rules: list[Signature]) -> Column:
     """The rules of each keyword, as one literal that is parsed when the query is optimised."""
     table: dict[str, list[dict]] = {}
     for r in rules:
-        table.setdefault(r.keyword, []).append({"pattern": r.pattern, "label": r.label, "rank": r.rank, "weight": r.weight})
-    return F.from_json(F.lit(json.dumps(table)), "map<string, array<struct<pattern:string, label:string, rank:int, weight:int>>>")
+        table.setdefault(r.keyword, []).append({"head": r.head, "pattern": r.pattern, "label": r.label, "rank": r.rank, "weight": r.weight})
+    return F.from_json(F.lit(json.dumps(table)), "map<string, array<struct<head:string, pattern:string, label:string, rank:int, weight:int>>>")
 
 
 def summarised(scanned: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -3,14 +3,15 @@
 Documents become pieces of at most ``capacity`` tokens. The histogram of piece lengths, at most ``capacity`` counts
 whatever the corpus holds, goes to the driver, which plans how many sequences of which make-up there are:
 
-1. *Patterns*: lengths are rounded up to ``capacity / grid`` tokens; every way to fill a sequence with up to ``parts``
-   rounded lengths is a pattern. Non-negative least squares fits repeat counts of the patterns to the histogram; the
+1. *Patterns*: lengths are rounded up to steps of ``capacity / grid`` tokens, rounded up itself; every way to fill the whole
+   steps of a sequence with up to ``parts`` rounded lengths is a pattern. Non-negative least squares fits repeat counts of the patterns to the histogram; the
    counts are rounded down and laid out as ranges of equal sequences.
 2. *Residuals*: what is left goes, longest first, to the open sequence it fits best. Sequences with equal room are
    handled together as a range, so the work follows the number of lengths, not of documents.
 
 The plan is a table of runs: pieces of length L with ranks from r take sequences from s at offset o. A piece finds its
-run by its length and its rank among the pieces of that length.
+run by its length and its rank among the pieces of that length. Runs follow the lengths and how counts divide among
+patterns, not the documents: a hundredfold corpus makes a few times as many.
 """
 
 from __future__ import annotations
@@ -27,13 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from plumbline.llm import tokens
-from plumbline.llm._common import slices, stored, text_of, texts
+from plumbline.llm._common import slices, small, stored, text_of, texts
 
 CAPACITY = 4096
 #: Steps of the grid, most pieces of a pattern, and the least piece of one in steps: smaller pieces are kept for the gaps.
 GRID, PARTS, LEAST = 32, 4, 4
-#: Ranges into which the ranks of one length are dealt.
-RANK_CHUNKS = 64
+#: Ranges into which the ranks of one length are dealt, at least; the most pieces of one length that a range is to hold; and
+#: the rows up to which the ranges' sizes are broadcast.
+RANK_CHUNKS, CHUNK_PIECES, FEW_SIZES = 64, 1 << 20, 1 << 19
 
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
@@ -125,11 +127,13 @@ class _Plan:
 
     def by_patterns(self, grid: int, parts: int, least: int) -> None:
         width = -(-self.capacity // grid)
-        bins: list[list[int]] = [[] for _ in range(grid)]
+        grid = self.capacity // width  # whole steps; a length beyond them is in no pattern
+        least = min(least, grid)
+        bins: list[list[int]] = [[] for _ in range(-(-self.capacity // width))]
         for length in sorted(self.left, reverse=True):
             if length < self.capacity:
                 bins[-(-length // width) - 1].append(length)
-        counts = np.array([sum(self.left[x] for x in own) for own in bins], float)
+        counts = np.array([sum(self.left[x] for x in own) for own in bins[:grid]], float)
         table = patterns(grid, parts, least)
         counts[: least - 1] = 0
         repeats = np.floor(fit_non_negative(table, counts) + 1e-9).astype(int)
@@ -172,8 +176,7 @@ def plan_runs(histogram: dict[int, int], capacity: int = CAPACITY, grid: int = G
     plan = _Plan({k: int(v) for k, v in histogram.items() if v}, capacity)
     if capacity in plan.left:
         plan.place(capacity, plan.left[capacity], plan.opened(plan.left[capacity]), capacity)
-    if capacity % grid == 0:
-        plan.by_patterns(grid, parts, least)
+    plan.by_patterns(grid, parts, least)
     plan.by_best_fit()
     return np.array(sorted(plan.runs), dtype=np.int64).reshape(-1, 5)
 
@@ -182,20 +185,22 @@ def ranked(rows: DataFrame, chunks: int = RANK_CHUNKS) -> DataFrame:
     """Adds ``rank``, from 0 without gaps among the rows of one length.
 
     The rows of a length are dealt into ``chunks`` by a hash, ranked there, and moved up by the sizes of the chunks
-    before; so a length that a third of all rows share is ranked by many tasks. Sizes are ``capacity * chunks`` rows at most."""
+    before; so a length that a third of all rows share is ranked by many tasks. Sizes are a row for each length and chunk;
+    they are counted before they are broadcast."""
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(chunks)))
     before = W.partitionBy("length").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     sizes = dealt.groupBy("length", "chunk").agg(F.count("*").alias("size"))
-    moved = sizes.select("length", "chunk", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("moved"))
+    moved = small(stored(sizes.select("length", "chunk", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("moved")), "ranks"), FEW_SIZES)
     inside = W.partitionBy("length", "chunk").orderBy("doc_id", "piece", "ids_crc32")
-    return dealt.withColumn("own", F.row_number().over(inside) - 1).join(F.broadcast(moved), ["length", "chunk"]).withColumn("rank", F.col("moved") + F.col("own"))
+    return dealt.withColumn("own", F.row_number().over(inside) - 1).join(moved, ["length", "chunk"]).withColumn("rank", F.col("moved") + F.col("own"))
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, grid: int = GRID, parts: int = PARTS, least: int = LEAST) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     ``sequence_id`` numbers the sequences from 0; ``offset`` is the place there, gapless from 0. Rows that repeat a
-    document are packed again; a null ``doc_id`` is packed as any other. An empty table gives no rows."""
+    document are packed again; a null ``doc_id`` is packed as any other, a null or empty text as the end id alone. An empty
+    table gives no rows. Any capacity is packed by patterns first. Other columns aren't read, whatever their names."""
     cut = stored(pieces(docs, doc_id, text, capacity, tokenizer), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = plan_runs(histogram, capacity, grid, parts, least)
@@ -209,4 +214,5 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
             yield batch.drop(columns="rank").assign(sequence_id=run[:, 3] + batch["rank"].to_numpy() - run[:, 1], offset=run[:, 4])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(assign, schema)
+    chunks = max(RANK_CHUNKS, -(-max(histogram.values(), default=0) // CHUNK_PIECES))
+    return ranked(cut, chunks).select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(assign, schema)

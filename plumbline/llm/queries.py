@@ -19,52 +19,83 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``: its near-duplicate class, the least id there, and whether it is the row that stays.
+
+    Null ids come last and have a null class among themselves; null and empty texts are alike; see ``near_dups``.
+    """
     return near_dups.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per encoded length: how many documents have it and, for that length as a limit, totals and truncated totals.
+
+    Null and empty texts have the length of the end id; an empty table gives no rows.
+    """
     return token_counts.length_curve(token_counts.length_histogram(_table(spark, sf_dir, "documents")))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``: its cell, tokens, calibrated probability and whether it is drawn.
+
+    Null sources and languages are ``unknown`` to raking and null here; texts without words are never drawn.
+    """
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``: whether its label was kept from training, its score, and the prediction.
+
+    Null and empty texts have the score of a text without words; a null id is not held out, but no label is learned for it.
+    """
     docs = _table(spark, sf_dir, "documents")
     scored = quality.score_documents(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= KEEP_SCORE).cast("int").alias("predicted"))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``: fingerprints of its text and its edited text, and how like they are to each other and the next.
+
+    A null text is empty; a null id has no next document, so what follows from it is null.
+    """
     found = fingerprints.against_edits(_table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprints.as_text(F.col("wide")).alias("fingerprint"), fingerprints.as_text(F.col("edited_wide")).alias("edited_fingerprint"),
+        *[fingerprints.as_text(F.col(f"{of}wide"), F.col(f"{of}pieces"), F.col(f"{of}signs")).alias(f"{of}fingerprint") for of in ("", "edited_")],
         "near_edited", "near_next",
     )
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``: words, base places, labels and a score. A null text is empty: no words, no labels, score 0."""
     return licenses.summarised(licenses.scan(_table(spark, sf_dir, "documents")))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece of a document: where its ids are and its place in a sequence. A null or empty text is the end id alone."""
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
 def op8_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest other vectors of each vector whose id is divisible by 20, by Hamming distance of codes, then id.
+
+    Vectors that are null or empty and null ids take no part; fewer rows than ten give fewer neighbours.
+    """
     rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), binary_search.code_of(F.col("embedding")).alias("code"))
     return binary_search.nearest(rows, rows.where(F.col("id") % QUERY_STEP == 0), NEIGHBOURS)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``: its lines, how many go, and the digest of what is left. A null text is one empty line."""
     kept = line_dedup.drop_common_lines(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``, read back from the shard files: where its ids begin, how many, and their checksum.
+
+    A null or empty text is the end id alone; null ids come first.
+    """
     return wavelet.read_documents(spark, wavelet.write_ids(_table(spark, sf_dir, "documents")))
 
 
@@ -83,7 +114,7 @@ _CODES = """codes AS (SELECT vec_id, list_reduce(list_transform(range(64), lambd
 _SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
-def _mixing_sql(rounds: int = mixing.ROUNDS) -> str:
+def _mixing_sql(rounds: int = 40) -> str:
     """The same raking as a chain of common table expressions."""
     topic = "CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'table' WHEN n < 100 THEN 'brief' WHEN n < 1000 THEN 'article' ELSE 'long' END"
     steps = [

@@ -5,10 +5,13 @@ neither composition nor lower-casing looks across ASCII white space. So the ids
 between ASCII white space, one after another, and a bounded memo of chunks saves most calls into the library. Two more
 identities save most of the rest: a mark of punctuation behind a letter or digit is a token run of its own, and ASCII
 letters have the ids of their lower case. A run of composed lower-case letters goes to the library's model at once.
+
+All of this holds for one make of tokenizer, so the file is read for it: whole texts of any other go to the library as they are.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -29,6 +32,25 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: The steps before the model for which the short cuts hold.
+_NORMALIZER = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def parts_at_space(made: dict) -> bool:
+    """Whether a tokenizer, by its file, gives a text the ids of its chunks between white space, by the steps above."""
+    pattern = lambda x: (x.get("pattern") or {}).get("Regex")
+    steps = (made.get("normalizer") or {}).get("normalizers") or []
+    if [(x["type"], pattern(x)) for x in steps] != _NORMALIZER or steps[1].get("content") != " ":
+        return False
+    cut = (made.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    if [x["type"] for x in cut] != ["Split", "ByteLevel"] or pattern(cut[0]) != _WORDS or (cut[0].get("behavior"), cut[0].get("invert")) != ("Removed", True):
+        return False
+    if cut[1].get("add_prefix_space") or cut[1].get("use_regex") or made["model"].get("type") != "BPE" or made["model"].get("dropout"):
+        return False
+    return made.get("post_processor") is None and made.get("truncation") is None and all(x["special"] and not re.search(r"\s", x["content"]) and not (x["lstrip"] or x["rstrip"] or x["normalized"]) for x in made.get("added_tokens", []))
+
+
 class _Memo(dict):
     def __init__(self, tokenizer):
         super().__init__()
@@ -72,6 +94,8 @@ def encoder(path: str) -> Callable[[bytes], bytes]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    if not parts_at_space(json.loads(tokenizer.to_str())):
+        return lambda text: np.array(tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
     look_up = _Memo(tokenizer).__getitem__
     return lambda text: b"".join(map(look_up, text.split()))
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import binary_search, fingerprints, licenses, line_dedup, mixing, near_dups, packing, quality, token_counts, tokens, wavelet
+from plumbline.llm import binary_search, fingerprints, license_rules, licenses, line_dedup, mixing, near_dups, packing, quality, queries, token_counts, tokens, wavelet
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -316,14 +316,18 @@ def rake_by_numpy(cells, rounds, temperature):
 def test_raking_and_calibration(docs):
     table = mixing.probabilities(docs).collect()
     cells = {(r["source"], r["lang"], r["topic"]): r["tokens"] for r in table}
-    want, targets = rake_by_numpy(cells, mixing.ROUNDS, mixing.TEMPERATURE)
+    want, targets = rake_by_numpy(cells, 60, mixing.TEMPERATURE)
     for r in table:
         assert r["weight"] == pytest.approx(want[r["source"], r["lang"], r["topic"]], rel=1e-9)
-    by_topic = defaultdict(float)
-    for r in table:
-        by_topic[r["topic"]] += r["weight"]
-    for k, v in targets[2].items():
-        assert by_topic[k] == pytest.approx(v, rel=1e-6)
+    for m, margin in enumerate(mixing.MARGINS):
+        sums = defaultdict(float)
+        for r in table:
+            sums[r[margin]] += r["weight"]
+        for k, v in targets[m].items():
+            assert sums[k] == pytest.approx(v, rel=1e-6)
+    assert all(r["gap"] <= mixing.TOLERANCE for r in table)
+    few, many = ({(r["source"], r["lang"], r["topic"]): r["weight"] for r in mixing.probabilities(docs, rounds=2, few_cells=n).collect()} for n in (10**5, 0))
+    assert few == pytest.approx(many)
     assert sum(r["tokens"] * r["probability"] for r in table) == pytest.approx(mixing.BUDGET * sum(cells.values()), rel=1e-9)
     certain = [r for r in table if r["probability"] == 1]
     part = next(r for r in table if r["probability"] < 1)
@@ -334,14 +338,19 @@ def test_raking_and_calibration(docs):
 def test_given_targets_and_odd_rows(docs, odd, empty):
     asked = {"lang": {"en": 0.25, "fr": 0.25, "de": 0.5}}
     found = defaultdict(float)
-    table = mixing.probabilities(docs, targets=asked, rounds=60)
+    table = mixing.probabilities(docs, targets=asked, rounds=24)
     for r in table.collect():
         found[r["lang"]] += r["weight"]
     total = table.agg(F.sum("tokens")).first()[0]
     assert found["de"] / total == pytest.approx(0.5, rel=1e-3) and found["es"] == 0
+    apart = docs.limit(2).withColumns({"source": F.col("doc_id").cast("string"), "lang": F.col("doc_id").cast("string")})
+    unmet = mixing.probabilities(apart, targets={"source": {str(r["doc_id"]): 0.5 for r in apart.collect()}, "lang": {str(apart.first()["doc_id"]): 1.0}}, rounds=3)
+    assert unmet.first()["gap"] == pytest.approx(0.5)
     got = mixing.mix(odd)
     assert got.count() == odd.count() and set(odd.columns) < set(got.columns)
     assert all(not r["kept"] for r in got.where("n_tokens = 0").collect())
+    clash = odd.withColumns({c: F.lit("x") for c in ("topic", "n_tokens", "probability", "kept")})
+    assert sorted(map(str, mixing.mix(clash).select("doc_id", "kept").collect())) == sorted(map(str, got.select("doc_id", "kept").collect()))
     assert mixing.mix(empty).count() == 0
 
 
@@ -419,6 +428,8 @@ def test_fingerprints_of_odd_rows(odd, empty, spark):
     want = brute_edits(texts)
     assert all(r["edited"] == want[r["doc_id"]] for r in got if r["doc_id"] is not None)
     assert fingerprints.against_edits(empty).count() == 0
+    clash = odd.withColumns({c: F.lit("x") for c in ("pieces", "wide", "signs", "id", "slot", "given", "edited", "n_chars", "next_id")})
+    assert sorted(map(str, fingerprints.against_edits(clash).collect())) == sorted(map(str, got))
     alone = fingerprints.against_edits(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).first()
     assert alone["edited"] == "abab" and alone["near_next"] == 1
 
@@ -445,6 +456,9 @@ def test_license_base_scan(docs, rows, odd, empty):
     for r in licenses.scan(odd, tuple(odd.columns)).collect():
         n, places = brute_base(r["text"])
         assert r["n_words"] == n and sorted((b["start"], b["label"]) for b in r["base"]) == places
+    clash = odd.withColumns({c: F.lit("x") for c in ("n_words", "base", "found", "suppressed")})
+    again = licenses.scan(clash, tuple(clash.columns))
+    assert len(set(again.columns)) == len(again.columns) and dict(again.dtypes)["n_words"] == "bigint"
     assert licenses.summarised(licenses.scan(empty)).count() == 0
 
 
@@ -460,6 +474,19 @@ def test_license_rules_resolve_overlaps(spark):
         "apache license apache license": "apache",
     }
     df = spark.createDataFrame(list(cases.items()), "text string, want string")
+    for r in licenses.summarised(licenses.scan(df, ("text", "want")), ("text", "want")).collect():
+        assert r["labels"] == r["want"], r
+    more = {
+        "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: ISC": "isc", "// SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2", "Licensed under MIT.": "mit",
+        "Licensed under the GPL": "gpl", "see https://creativecommons.org/licenses/by-sa/4.0/ for it": "cc-by-sa", "http://www.apache.org/licenses/LICENSE-2.0": "apache-2.0",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of it": "mit",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published": "gpl",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products": "bsd-3",
+        "no fee may be charged; any work is free": "", "All rights reserved.": "proprietary",
+    }
+    df = spark.createDataFrame(list(more.items()), "text string, want string")
     for r in licenses.summarised(licenses.scan(df, ("text", "want")), ("text", "want")).collect():
         assert r["labels"] == r["want"], r
     many = spark.createDataFrame([("mit license " * 5000,)], "text string")
@@ -467,6 +494,41 @@ def test_license_rules_resolve_overlaps(spark):
     assert r["n_base"] == 5000 and r["first_word"] == 0 and r["last_word"] == 9998 and r["labels"] == "mit"
 
 
+def brute_detections(text, rules):
+    """Every rule at every word, then the rules of suppression on all pairs."""
+    words = BASE.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    found = set()
+    for i, w in enumerate(words):
+        window = " ".join(words[i : i + licenses.SPAN])
+        for r in rules:
+            if r.keyword == w and (m := re.match(r.pattern, window, re.ASCII)):
+                found.add((i, i + len(m[0].split(" ")), r.label, r.rank, r.weight))
+
+    def over(e, d):
+        longer = e[1] - e[0] > d[1] - d[0]
+        return e[0] <= d[0] and e[1] >= d[1] and ((longer and e[3] >= d[3]) or (not longer and (e[3] > d[3] or (e[3] == d[3] and e[2] < d[2]))))
+
+    return sorted(d for d in found if not any(over(e, d) for e in found if e != d))
+
+
+def test_license_labels_equal_a_plain_interpreter(spark, docs, rows):
+    rules = licenses.signatures()
+    assert len({r.pattern for r in rules}) == len({(r.pattern, r.label) for r in rules}) > 800
+    assert all(re.match(r.pattern, x) is None or x.startswith(r.head) for r in rules for x in ("licensed under mit", "cc by sa 4 0"))
+    rng = random.Random(1)
+    bits = sorted({w for r in rules for w in re.findall("[a-z0-9]+", r.pattern)})
+    phrases = [p for t in (license_rules.NOTICES, license_rules.SHORT, license_rules.TITLES, license_rules.IDENTIFIERS) for own in t.values() for p in own if not re.search(r"[^a-z0-9 ]", p)]
+    texts = [" ".join(rng.choice([rng.choice(phrases), rng.choice(phrases), "licensed under the", "spdx license identifier", rng.choice(bits)]) for _ in range(rng.randrange(30))) for _ in range(300)]
+    texts += [t for t in rows.values() if t and "icen" in t]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    some = 0
+    for r in licenses.scan(df).collect():
+        want = brute_detections(texts[r["doc_id"]], rules)
+        assert sorted((d["start"], d["stop"], d["label"], d["rank"], d["weight"]) for d in r["found"]) == want
+        some += len(want)
+    assert some > 500
+
+
 # 7
 
 
@@ -495,10 +557,19 @@ def test_packing(docs, rows, odd, empty, tokenizer):
     got = packing.pack(docs).collect()
     used = check_packed(got, rows.items(), tokenizer, packing.CAPACITY)
     assert used <= -(-sum(r["length"] for r in got) // packing.CAPACITY) + 1
-    check_packed(packing.pack(odd, capacity=64).collect(), [(r["doc_id"], r["text"]) for r in odd.collect()], tokenizer, 64)
+    for capacity in (64, 50, 7):
+        check_packed(packing.pack(odd, capacity=capacity).collect(), [(r["doc_id"], r["text"]) for r in odd.collect()], tokenizer, capacity)
     assert packing.pack(empty).count() == 0
 
 
+def test_patterns_at_an_uneven_capacity():
+    plan = packing._Plan({n: 100 for n in range(1, 1001)}, 1000)
+    plan.by_patterns(packing.GRID, packing.PARTS, packing.LEAST)
+    assert sum(run[2] for run in plan.runs) > 20_000
+    runs = packing.plan_runs({n: 100 for n in range(1, 1001)}, 1000)
+    assert runs[:, 2].sum() == 100_000 and (runs[:, 3] + runs[:, 2]).max() <= 1.05 * 100 * sum(range(1, 1001)) / 1000
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plans_hold_every_piece_once(seed):
     random.seed(seed)
@@ -539,6 +610,8 @@ def test_exact_search(spark):
     for q, found in got.items():
         want = sorted(((codes[q] ^ c).bit_count(), i) for i, c in codes.items() if i != q)[:10]
         assert sorted(found) == [(n, *x) for n, x in enumerate(want, 1)]
+    clash = df.withColumns({c: F.lit("x") for c in ("ids", "part", "block", "rank", "n", "distance", "neighbour_id", "query_id")})
+    assert binary_search.nearest(clash, clash.where("id = 40"), 3).count() == 3
     none = df.where("false")
     assert binary_search.nearest(none, none, 10).count() == 0
     few = df.where("id in (20, 40, 61)")
@@ -575,6 +648,8 @@ def test_line_dedup(docs, rows, odd, empty, least):
     got = line_dedup.drop_common_lines(odd, least)
     assert got.columns == [*odd.columns, "n_lines", "n_dropped"]
     assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"] or "") for r in got.collect()) == brute_lines([(r["doc_id"], r["text"]) for r in odd.collect()], least)
+    clash = odd.withColumns({"n_lines": F.lit("x"), "n_dropped": F.lit("x")})
+    assert line_dedup.drop_common_lines(clash, least).where("n_lines >= 1 and n_dropped >= 0").count() == odd.count()
     assert line_dedup.drop_common_lines(empty).count() == 0
 
 
@@ -616,9 +691,172 @@ def test_token_files_round_trip(spark, docs, rows, odd, empty, tokenizer):
     assert wavelet.read_documents(spark, wavelet.write_ids(empty)).count() == 0
 
 
+def test_other_tokenizers_encode_whole_texts(rows):
+    import json
+
+    from tokenizers import Tokenizer
+
+    made = json.load(open(tokens.tokenizer_path()))
+    assert tokens.parts_at_space(made)
+    for change in ({"normalizer": None}, {"pre_tokenizer": None}, {"post_processor": {"type": "x"}}):
+        assert not tokens.parts_at_space(made | change)
+    other = tokens.tokenizer_path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(other)
+    encode = tokens.encoder(other)
+    for text in [*list(rows.values())[:40], "  two  blanks ", ""]:
+        assert encode(text.encode()) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+# queries
+
+
+def xx(value: bytes, seed: int) -> int:
+    """Spark's xxhash64 of (seed, value)."""
+    import struct
+
+    import xxhash
+
+    return xxhash.xxh64_intdigest(value, xxhash.xxh64_intdigest(struct.pack("<i", seed), 42))
+
+
+def plain_fingerprint(text):
+    """``(wide, pieces, signs)`` lane by lane."""
+    pieces = re.split(fingerprints.PIECE_ENDS, text)
+    wide = []
+    for seed in fingerprints.WIDE_SEEDS:
+        hashes = [xx(p.encode(), seed) for p in pieces]
+        wide += [sum(h & 0xFFFFFFFF for h in hashes) % 2**32, sum(h >> 32 for h in hashes) % 2**32]
+    counts = []
+    for seed in fingerprints.SIGN_SEEDS:
+        hashes = [xx(p.encode(), seed) for p in pieces]
+        counts += [(sum(h >> i & 1 for h in hashes), sum(h >> (32 + i) & 1 for h in hashes)) for i in range(32)]
+    return wide, len(pieces), counts
+
+
+def plain_likeness(a, b):
+    x = [2 * c - a[1] for lane in a[2] for c in lane]
+    y = [2 * c - b[1] for lane in b[2] for c in lane]
+    apart, both = sum((p - q) ** 2 for p, q in zip(x, y, strict=True)), sum(p * p + q * q for p, q in zip(x, y, strict=True))
+    return max(0.0, min(1.0, 1 - apart / max(both, 1)))
+
+
+def digits(print_):
+    wide, n, counts = print_
+    return "".join(f"{x:08x}" for x in wide) + f"{n:016x}" + "".join(f"{low + (high << 32):016x}" for low, high in counts)
+
+
+def test_op5_query_equals_plain_python(spark, rows):
+    edits, order = brute_edits(rows), sorted(rows, reverse=True)
+    following = dict(zip(order, order[1:] + order[:1], strict=True))
+    prints = {k: plain_fingerprint(t) for k, t in rows.items()}
+    df = queries.op5_fingerprints(spark, SF)
+    for r in df.collect():
+        edited = plain_fingerprint(edits[r["doc_id"]])
+        assert r["n_chars"] == len(rows[r["doc_id"]]) and r["edited_sha256"] == hashlib.sha256(edits[r["doc_id"]].encode()).hexdigest()
+        assert r["fingerprint"] == digits(prints[r["doc_id"]]) and r["edited_fingerprint"] == digits(edited)
+        assert r["near_edited"] == pytest.approx(plain_likeness(prints[r["doc_id"]], edited))
+        assert r["near_next"] == pytest.approx(plain_likeness(prints[r["doc_id"]], prints[following[r["doc_id"]]]))
+    back = df.select("near_edited", fingerprints.read_text(F.col("fingerprint")).alias("a"), fingerprints.read_text(F.col("edited_fingerprint")).alias("b"))
+    again = back.select("near_edited", fingerprints.likeness(F.col("a.signs"), F.col("a.pieces"), F.col("b.signs"), F.col("b.pieces")).alias("again"))
+    assert all(r["again"] == pytest.approx(r["near_edited"]) for r in again.collect())
+
+
+def test_op4_query_keeps_its_contract(spark, rows):
+    got = queries.op4_quality_classifier(spark, SF).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(rows)
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_quality_learns_nothing_from_held_out_labels(spark, docs, rows):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    turned = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    first, second = quality.fit(docs, labels), quality.fit(docs.union(docs), turned)
+    assert (first.shares == second.shares).all()
+    few = quality.fit(docs, labels, settings=quality.Settings(sample_rows=20, epochs=1, buckets=1 << 10))
+    assert few.score([b"x"])[0] != 0.5 and (quality.fit(docs, labels.where("false")).score([b"", b"x"]) == 0.5).all()
+
+
+def test_op7_and_op10_queries_keep_their_contract(spark, rows, tokenizer):
+    check_packed(queries.op7_packing(spark, SF).collect(), rows.items(), tokenizer, 4096)
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in queries.op10_token_files(spark, SF).collect()}
+    start = 0
+    for key in sorted(rows):
+        ids = ids_of(tokenizer, rows[key])
+        assert got[key] == (start, len(ids), crc(ids))
+        start += len(ids)
+
+
+def test_op1_query_names_one_row_of_each_class(spark, rows):
+    got = queries.op1_near_duplicates(spark, SF).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == brute_classes(rows)
+    assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
+
+
+@pytest.mark.parametrize(("kind", "least"), [("replaced", 0.9), ("inserted", 0.9), ("dropped", 0.9), ("moved", 0.9)])
+def test_near_duplicates_recall_at_the_threshold(spark, kind, least):
+    """Pairs of 200 words with about a fifth of the words edited at random, which are links: nine in ten share a class."""
+    rng, texts, links = random.Random(kind), {}, 0
+    while links < 150:
+        own = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        other = list(own)
+        for _ in range(38 if kind == "replaced" else 36 if kind == "dropped" else 44 if kind == "inserted" else 19):
+            at = rng.randrange(len(other))
+            if kind == "replaced":
+                other[at] = f"e{rng.randrange(10**6)}"
+            elif kind == "inserted":
+                other.insert(at, f"e{rng.randrange(10**6)}")
+            else:
+                word = other.pop(at)
+                if kind == "moved":
+                    other.insert(rng.randrange(len(other)), word)
+        if near_dups.alike(own, other):
+            texts[2 * links], texts[2 * links + 1] = " ".join(own), " ".join(other)
+            links += 1
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicates(df).collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(links)) >= least * links
+
+
+def test_rare_words_are_shared_by_links():
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(600)]
+    rarity = np.random.default_rng(3).integers(0, 50, 997)
+    for _ in range(400):
+        own = rng.choices(vocabulary, k=rng.randrange(1, 120))
+        other = [w for w in own if rng.random() < 0.93]
+        for _ in range(rng.randrange(12)):
+            other.insert(rng.randrange(len(other) + 1), rng.choice(vocabulary))
+        if other and near_dups.alike(own, other):
+            a, b = (set(near_dups.rare_words(near_dups.word_hashes(x), rarity).tolist()) for x in (own, other))
+            assert a & b
+
+
+def test_words_equal_one_pattern():
+    rng = random.Random(2)
+    alphabet = "aZ09_-. \n\u00a0éßÀ²¼ªµ\u0301İKſǅ字"
+    for _ in range(3000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(12)))
+        assert near_dups.words(text) == near_dups._ANY_WORD.findall(text.lower())
+
+
 # pipeline
 
 
+def test_stages_take_odd_and_empty_tables(spark, odd, empty):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, SF)
+        assert stage(spark, empty, SF).count() == 0, name
+        n = got.count()
+        if name == "best-fit packing":
+            assert n >= odd.count()
+        else:
+            assert got.columns == list(("doc_id", "text", "lang", "source", "n_chars")) and n <= odd.count(), name
+
+
 def test_pipeline_equals_brute_force(spark, rows):
     import corpus_pipeline
 
