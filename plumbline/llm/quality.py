@@ -1,15 +1,15 @@
 """Quality classifier: learned vectors of hashed words, word pairs and character n-grams, averaged per document; softmax output.
 
 Training is numpy stochastic gradient descent over a bounded sample of labelled rows. Executors hash their features and
-write them as a table in blocks; the driver reads one block after another, so it holds the vectors and one block, and
-never a text. The output layer is linear in the document's average, so for scoring each feature's vector shrinks to one
+write them as a table; one task on an executor reads it and learns, so the driver holds the finished model only, and a lost
+executor costs no more than that task. The output layer is linear in the document's average, so for scoring each feature's vector shrinks to one
 number, its share of the log odds: the model that executors get is ``buckets`` floats, and a word's numbers are computed
 once and remembered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,14 +23,14 @@ from plumbline.llm._common import Scratch, slices, text_of, texts
 
 #: Words a worker remembers.
 MEMO_WORDS = 300_000
-#: Texts whose features the driver holds at a time in training.
-BLOCK_TEXTS = 512
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_rows`` bounds the labelled rows that training takes; of more, those with the least hash of their id."""
+    """``sample_rows`` bounds the labelled rows that training takes; of more, those with the least hash of their id.
+
+    The training task holds six bytes for each distinct feature of each of these rows."""
 
     buckets: int = 1 << 18
     width: int = 12
@@ -100,12 +100,12 @@ class _Words:
 
 
 def features(words: _Words, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and their shares of all its features; an end mark makes that never empty."""
+    """Distinct buckets of a text and how often each occurs, 65,535 times at most; an end mark makes that never empty."""
     split = text.split()
     at = words.index(split)
     own = [words.own(words.hashes[at]), words.grams(split)[0], words.pairs(at)]
     found, counts = np.unique(np.concatenate([np.zeros(1, np.int64), *own]), return_counts=True)
-    return found, (counts / counts.sum()).astype(np.float32)
+    return found.astype(np.int32), np.minimum(counts, 65_535).astype(np.uint16)
 
 
 @dataclass(frozen=True, eq=False)
@@ -140,37 +140,35 @@ def _scorer(model: Model) -> _Words:
 Row = tuple[np.ndarray, np.ndarray, int]
 
 
-def descend(read: Callable[[int], list[Row]], blocks: int, rows: int, settings: Settings = Settings()) -> Model:
+def descend(rows: list[Row], settings: Settings = Settings()) -> Model:
     """Stochastic gradient descent, one document at a time, the rate falling to 0. Without rows, every score is one half.
 
-    ``read`` gives a block's documents as features, shares and label; each epoch takes blocks, and rows in them, in another order."""
+    A row has the distinct features of a document, how often each occurs, and the label."""
     random = np.random.default_rng(settings.seed)
     vectors = ((random.random((settings.buckets, settings.width), np.float32) - 0.5) / settings.width).astype(np.float32)
     output = np.zeros((settings.width, 2), np.float32)
-    steps, done = max(1, settings.epochs * rows), 0
+    steps, done = max(1, settings.epochs * len(rows)), 0
     for _ in range(settings.epochs):
-        for block in random.permutation(blocks):
-            own = read(int(block))
-            for i in random.permutation(len(own)):
-                found, share, label = own[i]
-                rate = settings.rate * (1 - done / steps)
-                hidden = share @ vectors[found]
-                odds = hidden @ output
-                p = np.exp(odds - odds.max())
-                p /= p.sum()
-                p[label] -= 1
-                back = output @ p
-                output -= rate * np.outer(hidden, p)
-                vectors[found] -= (rate * len(found) ** 0.5) * np.outer(share, back)
-                done += 1
+        for i in random.permutation(len(rows)):
+            found, counts, label = rows[i]
+            share = counts / np.float32(counts.sum(dtype=np.int64))
+            rate = settings.rate * (1 - done / steps)
+            hidden = share @ vectors[found]
+            odds = hidden @ output
+            p = np.exp(odds - odds.max())
+            p /= p.sum()
+            p[label] -= 1
+            back = output @ p
+            output -= rate * np.outer(hidden, p)
+            vectors[found] -= (rate * len(found) ** 0.5) * np.outer(share, back)
+            done += 1
     return Model(settings, (vectors @ (output[:, 1] - output[:, 0])).astype(np.float32))
 
 
 def train(texts: list[bytes], labels: list[int], settings: Settings = Settings()) -> Model:
     """:func:`descend` over texts in memory."""
     words = _Words(settings)
-    rows = [(*features(words, t), y) for t, y in zip(texts, labels, strict=True)]
-    return descend(lambda i: rows[i * BLOCK_TEXTS : (i + 1) * BLOCK_TEXTS], -(-len(rows) // BLOCK_TEXTS), len(rows), settings)
+    return descend([(*features(words, t), y) for t, y in zip(texts, labels, strict=True)], settings)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -179,16 +177,30 @@ def held_out(doc_id: Column) -> Column:
 
 
 def featured(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``k, y, found, share`` from ``k, y, t``: a text's distinct buckets as 32-bit integers and their shares as 32-bit floats."""
+    """``k, y, found, counts`` from ``k, y, t``: a text's :func:`features` as bytes."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words(settings)
         for batch in slices(batches, 256):
             each = [features(words, t) for t in texts(batch, "t")]
-            found, share = [f.astype(np.int32).tobytes() for f, _ in each], [s.tobytes() for _, s in each]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary()), pa.array(share, pa.binary())], ["k", "y", "found", "share"])
+            found, counts = [f.tobytes() for f, _ in each], [c.tobytes() for _, c in each]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary()), pa.array(counts, pa.binary())], ["k", "y", "found", "counts"])
+
+    return rows.select("k", "y", "t").mapInArrow(hashed, "k long, y int, found binary, counts binary")
+
+
+def learned(table: DataFrame, settings: Settings = Settings()) -> Model:
+    """:func:`descend` over a stored table of :func:`featured` rows, in one task."""
 
-    return rows.select("k", "y", "t").mapInArrow(hashed, "k long, y int, found binary, share binary")
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in slices(batches, 256):
+            for label, found, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                rows.append((np.frombuffer(found, np.int32), np.frombuffer(counts, np.uint16), label))
+        yield pa.RecordBatch.from_arrays([pa.array([descend(rows, settings).shares.tobytes()], pa.binary())], ["shares"])
+
+    one = table.repartition(1).sortWithinPartitions("k").select("y", "found", "counts").mapInArrow(learn, "shares binary").first()
+    return Model(settings, np.frombuffer(one["shares"], np.float32)) if one else descend([], settings)
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", settings: Settings = Settings()) -> Model:
@@ -205,17 +217,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     )
     chosen = known.orderBy(F.xxhash64(F.lit(settings.seed), "k"), "k").limit(settings.sample_rows)
     rows = docs.select(F.col(doc_id).cast("long").alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(chosen), "k")
-    blocks = max(1, -(-settings.sample_rows // BLOCK_TEXTS))
-    one = featured(rows, settings).groupBy("k").agg(F.min(F.struct("y", "found", "share")).alias("x")).select("k", "x.*")
+    one = featured(rows, settings).groupBy("k").agg(F.min(F.struct("y", "found", "counts")).alias("x")).select("k", "x.*")
     scratch = Scratch(docs.sparkSession)
-    table = one.withColumn("block", F.pmod(F.xxhash64(F.lit(settings.seed + 1), "k"), F.lit(blocks)).cast("int"))
-    table = scratch.stored(table.repartition(blocks, "block"), "features", by="block")
-
-    def read(block: int) -> list[Row]:
-        own = sorted(table.where(F.col("block") == block).select("k", "y", "found", "share").collect())
-        return [(np.frombuffer(r["found"], np.int32), np.frombuffer(r["share"], np.float32), r["y"]) for r in own]
-
-    model = descend(read, blocks, table.count(), settings)
+    model = learned(scratch.stored(one, "features"), settings)
     scratch.dropped()
     return model
 

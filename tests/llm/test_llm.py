@@ -377,7 +377,8 @@ def test_quality_score_equals_the_plain_forward_pass():
     bad = [f"BUY!! {i} NOW!! $$$ NOW!!".encode() for i in range(40)]
     model = quality.train(good + bad, [1] * 40 + [0] * 40, settings)
     for text in [*good[:3], *bad[:3], b"", b"x"]:
-        found, share = quality.features(quality._Words(settings), text)
+        found, counts = quality.features(quality._Words(settings), text)
+        share = counts / counts.sum()
         assert model.score([text])[0] == pytest.approx(1 / (1 + np.exp(-float(share @ model.shares[found]))), rel=1e-4)
     assert model.score(good).min() > 0.8 and model.score(bad).max() < 0.2
     assert quality.train([], [], settings).score([b"a"])[0] == 0.5
