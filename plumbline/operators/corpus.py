@@ -134,7 +134,7 @@ def diagnostics(scored: DataFrame, key: str = "doc_id", text: str = "text", most
     snippet = T.trim_space(F.col("f.snippet"))
     spelled = F.regexp_replace(F.regexp_replace(snippet, r"([.*+?^${}()|\[\]\\])", r"\\$1"), f"{L.WS}+", f"{L.WS}+".replace("\\", "\\\\"))
     rows = scored.select(key, F.col(text).alias("_text"), F.explode("findings").alias("f"))
-    found = rows.where(F.char_length(snippet) >= 3).select(key, "_text", F.col("f.rule").alias("rule"), F.concat(F.lit("(?i)"), spelled).alias("_p")).distinct()
+    found = rows.where(F.char_length(snippet) >= 3).select(key, "_text", F.col("f.rule").alias("rule"), F.concat(F.lit("(?iu)"), spelled).alias("_p")).distinct()
     split, hits = F.split(F.col("_text"), F.col("_p")), F.expr("regexp_extract_all(_text, _p, 0)")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
 

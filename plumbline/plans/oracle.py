@@ -231,6 +231,16 @@ def _result() -> str:
   || ',"adverbRate":' || {number('adverb_rate', 1)} || ',"emDashRate":' || {number('dash_rate', 1)} || ',"triadDensity":' || {number('triad_density', 2)} || '}},"findings":[' || {found} || ']}}' AS result FROM g"""
 
 
+def _diagnostics_sql() -> str:
+    """Each finding's snippet as a pattern; its places from the lengths of what stands between the hits."""
+    spelled = f"'(?i)' || array_to_string(list_transform(string_split({_COLLAPSED('f.snippet')}, ' '), lambda w: regexp_escape(w)), {lit(L.WS + '+')})"
+    return f"""{measured(f"SELECT doc_id, txt, txt AS body FROM ({SPIKED})", True)}, fs AS (SELECT DISTINCT doc_id, body, f.rule AS rule, {spelled} AS p
+  FROM (SELECT doc_id, body, unnest(finds) AS f FROM m) WHERE length({_TRIMMED('f.snippet')}) >= 3),
+hs AS (SELECT *, string_split_regex(body, p) AS parts, regexp_extract_all(body, p) AS hits FROM fs),
+ps AS (SELECT doc_id, rule, unnest(list_transform(range(1, least(len(hits), 50) + 1), lambda i: {{'start': list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0), 'n': length(hits[i])}})) AS x FROM hs)
+SELECT doc_id, rule, x.start::INTEGER AS start, max(x.start + x.n)::INTEGER AS stop FROM ps GROUP BY ALL"""
+
+
 def _books() -> str:
     """The text that each page's three files hold, from the page itself."""
     ascii_ = "regexp_replace(coalesce(html, ''), '[^ -~]+', ' ', 'g')"
@@ -275,6 +285,7 @@ SELECT doc_id, sha256(fixed) AS fixed_sha256, applied, banned + hollow + triads
     "q_report": _report(),
     "q_result_json": _result(),
     "q_binary_sources": _books(),
+    "q_diagnostics": _diagnostics_sql(),
     "q_diff_scores": f"{graded(f'SELECT diff_id, file, added AS txt FROM ({_DIFF}) WHERE length(regexp_replace(added, {lit(L.WS)}, {lit(str())}, {lit(chr(103))})) >= 20')} SELECT diff_id, file, n_words, score, grade FROM g",
     "q_verdicts": f"""{graded(f"SELECT doc_id, txt, len(list_filter(string_split({_COLLAPSED('txt')}, ' '), lambda w: w <> '')) AS page_words FROM ({SPIKED}) WHERE lang IN ('en', 'fr')")}
 SELECT doc_id, page_words, grade, {_GRADE_MAP(L.VERDICTS)} AS verdict, {_GRADE_MAP(L.BUCKETS)} AS bucket FROM g WHERE page_words >= {L.LEAST_PAGE_WORDS}""",
