@@ -230,7 +230,7 @@ def test_near_duplicates_of_spread_edits_lose_no_pair_of_a_bucket(spark):
     rng = random.Random(8)
     vocabulary = [f"v{i}" for i in range(5000)]
     texts = {}
-    for family in range(24):
+    for family in range(12):
         last = rng.choices(vocabulary, k=100)
         for i in range(20):
             own = list(last)
@@ -254,7 +254,7 @@ def edited(own, edits, rng):
 def test_near_duplicates_try_every_leader(spark):
     """Texts alike to one leader of a class but not to its least one; then one such text alone, where the least leaders link nothing."""
     rng, texts = random.Random(9), {}
-    for i in range(300):
+    for i in range(120):
         middle = rng.choices(range(5000), k=100)
         for j, own in enumerate((middle, edited(middle, 10, rng), edited(middle, 12, rng))):
             texts[3 * i + j] = " ".join(map(str, own))
@@ -799,7 +799,7 @@ def test_op1_query_names_one_row_of_each_class(spark, rows):
 def test_near_duplicates_recall_at_the_threshold(spark, kind, least):
     """Pairs of 200 words with about a fifth of the words edited at random, which are links: nine in ten share a class."""
     rng, texts, links = random.Random(kind), {}, 0
-    while links < 150:
+    while links < 120:
         own = [f"w{rng.randrange(10**6)}" for _ in range(200)]
         other = list(own)
         for _ in range(38 if kind == "replaced" else 36 if kind == "dropped" else 44 if kind == "inserted" else 19):
