@@ -301,7 +301,7 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """``id, n_words, marks, counts`` of texts ``id, t``: 16 bits of each sketch, and the word counts."""
+    """``id, n_words, marks, counts`` of texts ``id, t``: 32 bits of each sketch, and the word counts."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -309,7 +309,7 @@ def profiles(docs: DataFrame) -> DataFrame:
             for value in texts(batch, "t"):
                 hashes = word_hashes(words(value.decode("utf-8", "replace")))
                 sizes.append(len(hashes))
-                marks.append(order_min_hash(labelled_shingles(hashes)).astype(np.uint16).tobytes())
+                marks.append(order_min_hash(labelled_shingles(hashes)).astype(np.uint32).tobytes())
                 counts.append(word_counts(hashes).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(marks, pa.binary()), pa.array(counts, pa.binary())], ["id", "n_words", "marks", "counts"])
 
@@ -347,31 +347,27 @@ def with_rare_words(docs: DataFrame, rarity: np.ndarray, similarity: float = SIM
 
 
 def _sizes(members: DataFrame, bucket_texts: int) -> DataFrame:
-    """``h, largest, p, q`` of the buckets with several sides: the largest side, its number of blocks and that of the others.
-
-    Of buckets that hold the same texts, by 128 bits of their ids' hashes, one is left: the others hold no other pair."""
-    mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "id"))
-    by_side = members.groupBy("h", "side").agg(F.count("*").alias("n"), mark(1).alias("s1"), mark(2).alias("s2"))
-    sizes = by_side.groupBy("h").agg(
-        F.max_by("side", F.struct("n", "side")).alias("largest"), F.max("n").alias("n_largest"), F.sum("n").alias("n"), F.bit_xor("s1").alias("s1"), F.bit_xor("s2").alias("s2")
-    )
+    """``h, largest, p, q`` of the buckets with several sides: the largest side, its number of blocks and that of the others."""
+    by_side = members.groupBy("h", "side").agg(F.count("*").alias("n"))
+    sizes = by_side.groupBy("h").agg(F.max_by("side", F.struct("n", "side")).alias("largest"), F.max("n").alias("n_largest"), F.sum("n").alias("n"))
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / bucket_texts)).cast("int")
-    sizes = sizes.where("n > n_largest").dropDuplicates(["n", "s1", "s2"])
+    sizes = sizes.where("n > n_largest")
     return sizes.select("h", "largest", blocks(F.col("n_largest")).alias("p"), blocks(F.col("n") - F.col("n_largest")).alias("q"))
 
 
 def _sided(classed: DataFrame) -> DataFrame:
-    """``h, id, root, side`` of the texts in buckets ``h, id, root`` of several classes; texts of one side need no comparison.
+    """``h, id, root, side, bucket`` of the texts in buckets ``h, id, root`` of several classes; texts of one side need no comparison.
 
     A bucket's largest class leaves it: its texts and all texts that meet them anywhere make one bucket of two sides for the
     class. So a large class, which shares many buckets with the same texts, meets them once. The other texts stay where
-    they are, each class a side."""
+    they are, each class a side, and ``bucket`` is true there."""
     largest = classed.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("classes"))
     rows = classed.join(largest.where("classes > 1").select("h", "largest"), "h")
     of_class = F.xxhash64(F.lit("class"), "largest").alias("h")
     own = rows.where("root = largest").select(of_class, "id", "root", F.col("root").alias("side")).distinct()
     met = rows.where("root != largest").select(of_class, "id", "root", F.lit(-1).cast("long").alias("side")).distinct()
-    return own.union(met).union(rows.where("root != largest").select("h", "id", "root", F.col("root").alias("side")))
+    rest = rows.where("root != largest").select("h", "id", "root", F.col("root").alias("side"), F.lit(True).alias("bucket"))
+    return own.union(met).withColumn("bucket", F.lit(False)).union(rest)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -401,12 +397,13 @@ def close_pairs(members: DataFrame, sizes: DataFrame, known: DataFrame, bucket_t
     """``h, a, b``: pairs of different sides and classes in a bucket that agree in a sketch and may be close enough by their
     lengths and word counts. With ``forest``, only as many of a block as join its classes, the closest first.
 
-    ``members`` has ``h, id, root, side``, ``sizes`` is from :func:`_sizes`, ``known`` from :func:`profiles`. A bucket's largest
+    A pair that shares several buckets is told in that of the first sketch in which it agrees, by 32 bits of each.
+    ``members`` has ``h, id, root, side, bucket``, ``sizes`` is from :func:`_sizes`, ``known`` from :func:`profiles`. A bucket's largest
     side and its other texts are dealt into blocks of ``bucket_texts``; a block of others meets each block. So a task holds
     two blocks, however large the bucket is, and the largest side never meets itself. Where each is one block, they meet as
     they are, and no row is copied."""
     rows = members.join(sizes, "h").withColumn("other", F.col("side") != F.col("largest"))
-    whole = rows.where("p = 1 and q = 1").select("h", F.lit(0).alias("x"), F.lit(0).alias("y"), "id", "root", "side")
+    whole = rows.where("p = 1 and q = 1").select("h", F.lit(0).alias("x"), F.lit(0).alias("y"), "id", "root", "side", "bucket")
     place = F.pmod(F.xxhash64("id"), F.when(F.col("other"), F.col("q")).otherwise(F.col("p"))).cast("int")
     pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     others = F.sequence(F.lit(0), F.col("q") - 1)
@@ -418,21 +415,25 @@ def close_pairs(members: DataFrame, sizes: DataFrame, known: DataFrame, bucket_t
         ),
     ).otherwise(F.transform(others, lambda i: pair(i, -1 - F.col("place"))))
     dealt = rows.where("p > 1 or q > 1").withColumn("place", place).withColumn("meet", F.explode(meets))
-    dealt = whole.union(dealt.select("h", F.col("meet.x").alias("x"), F.col("meet.y").alias("y"), "id", "root", "side"))
+    dealt = whole.union(dealt.select("h", F.col("meet.x").alias("x"), F.col("meet.y").alias("y"), "id", "root", "side", "bucket"))
     need = 1 - similarity
 
     def compared(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         ids, root, side, size = (group.column(c).to_numpy() for c in ("id", "root", "side", "n_words"))
-        marks = np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint16).reshape(-1, SKETCHES)
+        marks = np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint32).reshape(-1, SKETCHES)
         counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint8).reshape(-1, COUNTERS)
         first, second, weight = [], [], []
+        own = np.uint32(group.column("h")[0].as_py() & 0xFFFFFFFF) if group.column("bucket")[0].as_py() else None
         for i in range(len(ids) - 1):
             most = (np.maximum(size[i + 1 :], size[i]) * need + 1e-9).astype(np.int64)
             rest = np.flatnonzero((side[i + 1 :] != side[i]) & (root[i + 1 :] != root[i]) & (np.abs(size[i + 1 :] - size[i]) <= most))
             if len(rest):
                 most, rest = most[rest], rest + i + 1
                 edits = least_edits(counts[i], counts[rest])
-                fit = (edits <= most) & (marks[rest] == marks[i]).any(axis=1)
+                agree = marks[rest] == marks[i]
+                fit = (edits <= most) & agree.any(axis=1)
+                if own is not None:
+                    fit &= marks[i][agree.argmax(axis=1)] == own
                 first.append(np.full(fit.sum(), i))
                 second.append(rest[fit])
                 weight.append(-(edits / np.maximum(most, 1))[fit])
@@ -450,7 +451,7 @@ def close_pairs(members: DataFrame, sizes: DataFrame, known: DataFrame, bucket_t
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), group.column("h")[0].as_py())), pa.array(a), pa.array(b)], ["h", "a", "b"])
 
-    ordered = dealt.join(known, "id").select("h", "x", "y", "id", "root", "side", "n_words", "marks", "counts").repartition("h", "x", "y").sortWithinPartitions("h", "x", "y", "id")
+    ordered = dealt.join(known, "id").select("h", "x", "y", "id", "root", "side", "bucket", "n_words", "marks", "counts").repartition("h", "x", "y").sortWithinPartitions("h", "x", "y", "id")
     return ordered.mapInArrow(compare, "h long, a long, b long")
 
 
@@ -509,13 +510,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         full = cut.join(sizes.where("q > 1").select("h"), "h")
         crowded = scratch.stored(at(full), "crowded")
         rare = with_rare_words(crowded, word_rarity(crowded), similarity)
-        dealt = full.join(rare, "id").select(F.xxhash64("h", "word").alias("h"), "id", "root", "side")
-        cut = scratch.stored(cut.join(sizes.where("q = 1").select("h"), "h").select("h", "id", "root", "side").union(dealt), "cut")
+        dealt = full.join(rare, "id").select(F.xxhash64("h", "word").alias("h"), "id", "root", "side", F.lit(False).alias("bucket"))
+        cut = scratch.stored(cut.join(sizes.where("q = 1").select("h"), "h").select("h", "id", "root", "side", "bucket").union(dealt), "cut")
         sizes = scratch.stored(_sizes(cut, bucket_texts), "sizes")
     forest = scratch.stored(close_pairs(cut, sizes, known, bucket_texts, similarity, True), "forest")
     settle(forest.select("a", "b").distinct())
     unsettled = forest.join(reduce(DataFrame.union, failed).distinct(), ["a", "b"], "left_semi").select("h").distinct()
-    rest = in_classes(cut.select("h", "id", "side").join(unsettled, "h", "left_semi"), "id", "root")
+    rest = in_classes(cut.select("h", "id", "side", "bucket").join(unsettled, "h", "left_semi"), "id", "root")
     rest = scratch.stored(rest.withColumn("side", F.when(F.col("side") < 0, F.col("side")).otherwise(F.col("root"))), "rest")
     settle(close_pairs(rest, _sizes(rest, bucket_texts), known, bucket_texts, similarity).select("a", "b").distinct())
 
