@@ -19,9 +19,10 @@ No bucket is expanded into pairs. Texts with the same words are one text from th
    that are still of different classes are verified.
 
 A large group of copies is one class by step 2 and meets itself nowhere. A bucket whose other texts would fill more than
-one block, such as those of a passage that many unlike texts share, is cut by rare words before: two texts that are a
-link share one of the rarest words that make up a fifth of each, whatever the order of rarity. So its texts meet only
-those that share such a word, and the work doesn't grow with the square of the bucket.
+``CUT_BLOCKS`` blocks, such as those of a passage that many unlike texts share, is cut by rare words before: two texts
+that are a link share one of the rarest words that make up a fifth of each, whatever the order of rarity. So its texts
+meet only those that share such a word, once for all such buckets, and the work doesn't grow with the square of the
+bucket. In fewer blocks each text stands a few times; its rare words are more.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ WORDS, SIMILARITY = 5, 0.8
 SKETCHES, PICKED = 64, 2
 #: Texts of a bucket compared in one task.
 BUCKET_TEXTS = 2048
+#: Blocks up to which a bucket's other texts meet block by block, each text in a few of them; beyond, rare words cut the bucket.
+CUT_BLOCKS = 4
 #: Counters of hashed words, of a byte each, that bound the edits between two texts from below.
 COUNTERS = 512
 #: Counters of how many texts hold a word, by its hash; they only order words by rarity.
@@ -506,12 +509,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sizes = scratch.stored(_sizes(cut, bucket_texts), "sizes")
     at = lambda df: keyed.join(df.select("id").distinct(), "id")
     known = scratch.stored(profiles(at(cut)), "profiles")
-    if sizes.where("q > 1").limit(1).count():
-        full = cut.join(sizes.where("q > 1").select("h"), "h")
+    if sizes.where(F.col("q") > CUT_BLOCKS).limit(1).count():
+        full = cut.join(sizes.where(F.col("q") > CUT_BLOCKS).select("h"), "h")
         crowded = scratch.stored(at(full), "crowded")
         rare = with_rare_words(crowded, word_rarity(crowded), similarity)
-        dealt = full.join(rare, "id").select(F.xxhash64("h", "word").alias("h"), "id", "root", "side", F.lit(False).alias("bucket"))
-        cut = scratch.stored(cut.join(sizes.where("q = 1").select("h"), "h").select("h", "id", "root", "side", "bucket").union(dealt), "cut")
+        # A text has the same rare words in all its crowded buckets: it is dealt once for each word, not for each bucket as well.
+        dealt = full.select("id", "root").distinct().join(rare, "id").select(F.xxhash64(F.lit("word"), "word").alias("h"), "id", "root", F.col("root").alias("side"), F.lit(False).alias("bucket"))
+        cut = scratch.stored(cut.join(sizes.where(F.col("q") <= CUT_BLOCKS).select("h"), "h").select("h", "id", "root", "side", "bucket").union(dealt), "cut")
         sizes = scratch.stored(_sizes(cut, bucket_texts), "sizes")
     forest = scratch.stored(close_pairs(cut, sizes, known, bucket_texts, similarity, True), "forest")
     settle(forest.select("a", "b").distinct())

@@ -212,6 +212,29 @@ def test_near_duplicates_of_large_groups_lose_no_link(spark):
     assert got == brute_classes(texts)
 
 
+@pytest.mark.parametrize("bucket_texts", [30, 8])
+def test_crowded_buckets_are_dealt_once_for_each_rare_word(spark, monkeypatch, bucket_texts):
+    """A passage in 44 texts makes many buckets of the same texts: two blocks aren't cut; more are, by a row for each word of a text."""
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(100)]
+    texts = {i: " ".join([*(f"v{rng.randrange(9000)}" for _ in range(40)), *passage]) for i in range(44)}
+    tables, old = {}, near_dups.Scratch.stored
+
+    def stored(self, df, name, codec=None):
+        back = old(self, df, name, codec)
+        if name in ("cut", "crowded"):
+            tables[name] = back.count()
+        return back
+
+    monkeypatch.setattr(near_dups.Scratch, "stored", stored)
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicates(df, bucket_texts=bucket_texts).collect()}
+    assert got == bucket_classes(texts)
+    rare = 44 * (int(140 * 0.2 + 1e-9) + 1)
+    members = 44 * near_dups.SKETCHES  # of buckets that aren't cut
+    assert tables == {} if bucket_texts == 30 else tables["crowded"] and tables["cut"] <= rare + members
+
+
 def bucket_classes(texts):
     """Classes by all pairs that agree in at least one sketch and are alike."""
     split = {k: near_dups.words(t) for k, t in texts.items()}
