@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,6 +77,20 @@ def row_key(*columns: str) -> list[Column]:
     return [F.xxhash64(F.lit(11), *parts), F.xxhash64(F.lit(29), *parts)]
 
 
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def sole(operator: str, forget: Callable[[], None]) -> None:
+    """Call it before an operator remembers things in a worker, which outlives its tasks and may serve other operators later:
+    what others remember is forgotten by their ``forget``, so that a pipeline's workers hold one memo, not one for each stage."""
+    others = [k for k in _remembered if k != operator]
+    for other in others:
+        _remembered.pop(other)()
+    if others:
+        pa.default_memory_pool().release_unused()
+    _remembered[operator] = forget
+
+
 def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A text column's values as UTF-8 bytes; null is empty."""
     column = batch.column(batch.schema.get_field_index(name))

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import Scratch, row_key, slices, text_of, texts
+from plumbline.llm._common import Scratch, row_key, slices, sole, text_of, texts
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, PICKED = 64, 2
@@ -79,10 +79,12 @@ class _Hashes(dict):
         return found
 
 
-_hash_of = _Hashes().__getitem__
+_hashes = _Hashes()
+_hash_of = _hashes.__getitem__
 
 
 def word_hashes(own: list[str]) -> np.ndarray:
+    sole("near_dups", _hashes.clear)
     return np.fromiter(map(_hash_of, own), np.uint64, len(own))
 
 

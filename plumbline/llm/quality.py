@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm._common import Scratch, slices, text_of, texts
+from plumbline.llm._common import Scratch, slices, sole, text_of, texts
 
 #: Words a worker remembers.
 MEMO_WORDS = 300_000
@@ -244,8 +244,14 @@ def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc
 _models: dict[int, Model] = {}
 
 
+def _forget() -> None:
+    _models.clear()
+    _last[:] = [None, None]
+
+
 def _received(shared: object) -> Model:
     """One model object per broadcast in a worker, so that what it remembers of words outlives a task."""
+    sole("quality", _forget)
     value = shared.value
     found = next((m for m in _models.values() if m.shares is value[1]), None)
     if found is None:

@@ -19,6 +19,8 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 
+from plumbline.llm._common import sole
+
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks a worker remembers, and the longest of them in bytes.
@@ -88,6 +90,14 @@ def _ends_in_letter(chunk: bytes) -> bool:
     return len(chunk) > 1 and chunk[-2] == 0xC3 and chunk[-1] not in (0x97, 0xB7)
 
 
+_memos: list[_Memo] = []
+
+
+def _forget() -> None:
+    for memo in _memos:
+        memo.clear()
+
+
 @cache
 def encoder(path: str) -> Callable[[bytes], bytes]:
     """A function from UTF-8 text to its ids as little-endian unsigned 32-bit integers, without an end id."""
@@ -96,12 +106,14 @@ def encoder(path: str) -> Callable[[bytes], bytes]:
     tokenizer = Tokenizer.from_file(path)
     if not parts_at_space(json.loads(tokenizer.to_str())):
         return lambda text: np.array(tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-    look_up = _Memo(tokenizer).__getitem__
+    _memos.append(_Memo(tokenizer))
+    look_up = _memos[-1].__getitem__
     return lambda text: b"".join(map(look_up, text.split()))
 
 
 def encoded(texts: list[bytes], path: str, end_id: int = END_ID) -> Iterator[bytes]:
     """Ids of each text, with the end id, as little-endian unsigned 32-bit integers."""
+    sole("tokens", _forget)
     encode, end = encoder(path), end_id.to_bytes(4, "little")
     for text in texts:
         yield encode(text) + end

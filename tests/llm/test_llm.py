@@ -715,6 +715,21 @@ def test_token_files_round_trip(spark, docs, rows, odd, empty, tokenizer):
     assert wavelet.read_documents(spark, wavelet.write_ids(empty)).count() == 0
 
 
+def test_workers_remember_for_one_operator_at_a_time():
+    """A worker of the pipeline that has hashed, and encoded, words forgets them as it begins to score."""
+    from types import SimpleNamespace
+
+    near_dups.word_hashes(["one", "two"])
+    assert near_dups._hashes
+    list(tokens.encoded([b"one two"], tokens.tokenizer_path()))
+    assert not near_dups._hashes and tokens._memos[-1]
+    shared = SimpleNamespace(value=(quality.Settings(), np.zeros(quality.Settings().buckets, np.float32)))
+    assert quality._received(shared).score([b"one two"]) == [0.5]
+    assert not tokens._memos[-1] and quality._last[0] is not None
+    near_dups.word_hashes(["one"])
+    assert quality._last[0] is None and not quality._models
+
+
 def test_other_tokenizers_encode_whole_texts(rows):
     import json
 
