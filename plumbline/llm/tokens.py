@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -54,26 +55,36 @@ def parts_at_space(made: dict) -> bool:
 
 
 class _Memo(dict):
+    """Ids by chunk, in two generations: of a full one, what is asked for again moves on to the next, the rest is forgotten."""
+
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.tokenizer, self.model, self.before = tokenizer, tokenizer.model, {}
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if chunk[-1] in _MARKS and _ends_in_letter(chunk[:-1]):
-            ids = self[chunk[:-1]] + self[chunk[-1:]]
-        elif chunk.isalpha() and not chunk.islower():
-            ids = self[chunk.lower()]
-        elif _PLAIN.fullmatch(chunk):
-            found = self.model.tokenize(chunk.decode("latin-1").translate(_byte_letters()))
-            ids = np.array([t.id for t in found], "<u4").tobytes()
-        else:
-            ids = np.array(self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.before.get(chunk)
+        if ids is None:
+            ids = self.found(chunk)
         if len(chunk) <= MEMO_BYTES:
-            if len(self) >= MEMO_CHUNKS:
+            if len(self) >= MEMO_CHUNKS // 2:
+                self.before = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
 
+    def found(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():
+            if not chunk.islower():
+                return self[chunk.lower()]
+            found = self.model.tokenize(chunk.decode("ascii"))  # ASCII letters stand for themselves
+        elif chunk[-1] in _MARKS and _ends_in_letter(chunk[:-1]):
+            return self[chunk[:-1]] + self[chunk[-1:]]
+        elif _PLAIN.fullmatch(chunk):
+            found = self.model.tokenize(chunk.decode("latin-1").translate(_byte_letters()))
+        else:
+            return np.array(self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
 
 @cache
 def _byte_letters() -> dict[int, str]:
@@ -96,6 +107,7 @@ _memos: list[_Memo] = []
 def _forget() -> None:
     for memo in _memos:
         memo.clear()
+        memo.before = {}
 
 
 @cache

@@ -715,6 +715,14 @@ def test_token_files_round_trip(spark, docs, rows, odd, empty, tokenizer):
     assert wavelet.read_documents(spark, wavelet.write_ids(empty)).count() == 0
 
 
+def test_memo_forgets_what_is_not_asked_for(rows, tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_CHUNKS", 40)
+    memo, chunks = tokens._Memo(tokenizer), [c for t in rows.values() for c in (t or "").encode().split()][:3000]
+    for i, chunk in enumerate(chunks):
+        assert memo[b"the"] + memo[chunk] == b"".join(np.array(tokenizer.encode(c.decode(), add_special_tokens=False).ids, "<u4").tobytes() for c in (b"the", chunk))
+        assert len(memo) <= 22 and (i < 100 or memo.before), "two halves, and a chunk's parts"
+
+
 def test_workers_remember_for_one_operator_at_a_time():
     """A worker of the pipeline that has hashed, and encoded, words forgets them as it begins to score."""
     from types import SimpleNamespace
